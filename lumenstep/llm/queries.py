@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import linkrank, prefixcount, repetition, simhash
 from .common import read
 
 QUERIES: dict = {}
@@ -17,6 +18,22 @@ def _query(fn):
     return fn
 
 
+@_query
+def op1_link_rank_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linkrank.judge(read(spark, sf_dir, "pages"))
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+@_query
+def op2_suffix_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.judge(read(spark, sf_dir, "documents"))
+
+
+@_query
+def op4_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixcount.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @_query
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
