@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linkrank, prefixcount, repetition, simhash
+from . import crossparse, decontaminate, linkrank, prefixcount, repetition, simhash
 from .common import read
 
 QUERIES: dict = {}
@@ -34,6 +34,16 @@ def op4_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixcount.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@_query
+def op6_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op8_cross_parsing_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crossparse.identify(read(spark, sf_dir, "documents"))
+
+
 @_query
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
