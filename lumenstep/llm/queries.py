@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crossparse, decontaminate, linkrank, prefixcount, repetition, simhash
+from . import bytebpe, crossparse, decontaminate, linkrank, prefixcount, repetition, simhash
 from .common import read
 
 QUERIES: dict = {}
@@ -29,6 +29,12 @@ def op2_suffix_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judge(read(spark, sf_dir, "documents"))
 
 
+@_query
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bytebpe.encode(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 @_query
 def op4_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixcount.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
