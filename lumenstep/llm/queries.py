@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, crossparse, decontaminate, linkrank, prefixcount, repetition, simhash
+from . import bytebpe, crossparse, decontaminate, lattice, linkrank, prefixcount, repetition, simhash
 from .common import read
 
 QUERIES: dict = {}
@@ -54,3 +54,8 @@ def op8_cross_parsing_language_id(spark: SparkSession, sf_dir: str) -> DataFrame
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@_query
+def op10_subword_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
