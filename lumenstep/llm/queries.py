@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, crossparse, decontaminate, lattice, linkrank, prefixcount, repetition, simhash
+from . import bytebpe, crossparse, decontaminate, lattice, linkrank, prefixcount, repetition, simhash, surrogates
 from .common import read
 
 QUERIES: dict = {}
@@ -40,6 +40,12 @@ def op4_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixcount.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@_query
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.pseudonymise(docs, count_col="n_entities")
+
+
 @_query
 def op6_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
