@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, crossparse, decontaminate, lattice, linkrank, prefixcount, repetition, simhash, surrogates
+from . import bytebpe, crossparse, decontaminate, lattice, linkrank, prefixcount, repetition, simhash, substrings, surrogates
 from .common import read
 
 QUERIES: dict = {}
@@ -51,6 +51,11 @@ def op6_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+@_query
+def op7_deep_shallow_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 @_query
 def op8_cross_parsing_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crossparse.identify(read(spark, sf_dir, "documents"))
