@@ -77,7 +77,8 @@ class Block:
             self.counted += new
         self.bytes += size
 
-    def pack(self, buckets: int) -> bytes:
+    def pack(self, buckets: int) -> tuple[bytes, bytes]:
+        """What the block keeps, and its dictionary by bucket."""
         n = len(self.numbers)
         stream = np.asarray(self.stream, dtype=np.int64)
         count = np.bincount(np.asarray(self.counted, dtype=np.int64), minlength=n)
@@ -94,17 +95,22 @@ class Block:
                 dictionary[k] = (pack_tokens([w for w, _ in part]), pack_numbers(count[own]))
                 order.append(place[own])
         order = np.concatenate(order) if order else np.zeros(0, dtype=np.int64)
-        return pickle.dumps({"rows": self.rows, "n": n, "stream": pack_numbers(place[stream]), "order": pack_numbers(order), "dictionary": dictionary})
+        kept = {"rows": self.rows, "n": n, "stream": pack_numbers(place[stream]), "order": pack_numbers(order), "buckets": set(dictionary)}
+        return pickle.dumps(kept), pickle.dumps(dictionary)
 
 
-def pack(docs: DataFrame, columns: list[str], tokens_of: Callable[[bytes], list[bytes]], counted_col: str | None, buckets: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block, pack): docs with `_text` gathered in blocks; `columns` are carried in the pack."""
+def pack(docs: DataFrame, columns: list[str], tokens_of: Callable[[bytes], list[bytes]], counted_col: str | None, buckets: int, block_bytes: int = BLOCK_BYTES, split: bool = False) -> DataFrame:
+    """(block, pack): docs with `_text` gathered in blocks; `columns` are carried in the pack. With split the dictionary
+    is a column of its own (for a table that is read once for each); without it both readers share one exchange."""
+    fields = ["block", "pack", "dictionary"] if split else ["block", "pack"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, k, block = TaskContext.get().partitionId(), 0, Block()
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([f"{task}-{k}"]), pa.array([block.pack(buckets)], pa.binary())], ["block", "pack"])
+            both = block.pack(buckets)
+            cols = both if split else (pickle.dumps(both),)
+            return pa.RecordBatch.from_arrays([pa.array([f"{task}-{k}"]), *(pa.array([x], pa.binary()) for x in cols)], fields)
 
         for batch in batches:
             names = batch.schema.names
@@ -120,26 +126,29 @@ def pack(docs: DataFrame, columns: list[str], tokens_of: Callable[[bytes], list[
         if block.rows:
             yield flush()
 
-    return docs.mapInArrow(run, "block string, pack binary")
+    return docs.mapInArrow(run, "block string, pack binary" + ", dictionary binary" * split)
 
 
 def parts(packed: DataFrame) -> DataFrame:
     """(bucket, block, tokens, counts): the dictionary rows of packed blocks."""
+    split = "dictionary" in packed.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = pickle.loads(data.as_py())["dictionary"]
+                found = pickle.loads(data.as_py() if split else pickle.loads(data.as_py())[1])
                 if found:
                     tokens, counts = zip(*found.values(), strict=True)
                     cols = [pa.array(list(found), pa.int32()), pa.array([block] * len(found)), pa.array(tokens, pa.binary()), pa.array(counts, pa.binary())]
                     yield pa.RecordBatch.from_arrays(cols, ["bucket", "block", "tokens", "counts"])
 
-    return packed.select("block", "pack").mapInArrow(run, "bucket int, block string, tokens binary, counts binary")
+    return packed.select("block", "dictionary" if split else "pack").mapInArrow(run, "bucket int, block string, tokens binary, counts binary")
 
 
-def gather(packed: DataFrame, answers: DataFrame) -> DataFrame:
+def gather(packed: DataFrame, answers: DataFrame, partitions: int | None = None) -> DataFrame:
     """(block, pack, answers): each block with its (bucket, answer) list; answers: (bucket, block, answer)."""
+    if partitions:  # more and smaller tasks than the session's number
+        packed, answers = packed.repartition(partitions, "block"), answers.repartition(partitions, "block")
     lists = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "answer")).alias("answers"))
     return packed.join(lists, "block", "left").select("block", "pack", "answers")
 
@@ -150,8 +159,9 @@ def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], np.
     for batch in batches:
         for data, found in zip(batch.column(1), batch.column(2), strict=True):
             block = pickle.loads(data.as_py())
+            block = pickle.loads(block[0]) if isinstance(block, tuple) else block
             got = {r["bucket"]: r["answer"] for r in (found.as_py() or [])}
-            if set(got) != set(block["dictionary"]):
+            if set(got) != block["buckets"]:
                 raise RuntimeError("a block was packed again in another way: its input isn't deterministic")
             order = unpack_numbers(block["order"])
             back = np.empty(block["n"], dtype=np.int64)

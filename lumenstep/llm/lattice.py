@@ -34,6 +34,7 @@ from . import blocks, common
 from .crossparse import held_out
 
 FOLDS = 5
+BLOCK_BYTES = 6_000_000
 SPACE_MARK = "▁"
 
 
@@ -160,7 +161,7 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     buckets = blocks.buckets_of(docs)
     out = held_out(F.col(id_col), FOLDS)
     base = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("doc_id"), out.alias("held_out"), (~out).alias("_train"))
-    packed = common.written(blocks.pack(base, ["doc_id", "held_out"], lambda text: words_of(text), "_train", buckets), "lm-blocks")
+    packed = common.written(blocks.pack(base, ["doc_id", "held_out"], lambda text: words_of(text), "_train", buckets, BLOCK_BYTES, split=True), "lm-blocks")
     dictionary = blocks.parts(packed)
     merged = common.written(merge_buckets(dictionary, buckets, path), "lm-words")
     ends = base.where("_train").count()
@@ -198,4 +199,4 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                 cols = [pa.array(list(col), kind) for col, kind in zip(zip(*done[k : k + 5000], strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, schema.fieldNames())
 
-    return blocks.gather(packed, answers).mapInArrow(run, schema)
+    return blocks.gather(packed.select("block", "pack"), answers, 2 * buckets).mapInArrow(run, schema)

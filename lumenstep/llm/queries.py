@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytebpe, crossparse, decontaminate, lattice, linkrank, prefixcount, repetition, simhash, substrings, surrogates
-from .common import read
+from .common import read, ship
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
 def _query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 @_query
