@@ -15,9 +15,9 @@ The windows of an anchor are a range of starts; their bytes are its context.
    task: its windows go through the packed distinct-token shuffle of `blocks` instead, by 128-bit digest.
 4. Starts come back to the texts that hold the context, and covered bytes are cut out.
 
-Decisions belong to distinct texts (by MD5), so copies are one row in every grouping; hot keys occur in joins only,
-where AQE splits them. Texts are shuffled once: both joins with texts read the same exchange (the key is never null, so
-neither join adds a filter below it).
+Decisions belong to distinct texts (by MD5), so copies are one row in every grouping; hot keys occur in joins of narrow
+rows only, where AQE splits them. Texts are shuffled once, combined by key: both joins with distinct texts read the same
+exchange (the key is never null, so neither join adds a filter below it).
 
 Defined cases: null is an empty text; texts shorter than `length` stay whole; repeated rows count as occurrences of each
 other; an empty table gives an empty result; extra columns are ignored.
@@ -261,26 +261,22 @@ def _hot_classes(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def _contexts(texts: DataFrame, asked: DataFrame, length: int) -> DataFrame:
-    """(fp, ch, n, k, cut, body): the bytes of contexts. asked: key, reps (the contexts whose bytes its text gives)."""
-    joined = texts.join(asked.hint("shuffle_hash"), "key").select("key", "doc_id", "text", "reps")
-    schema = "fp long, ch binary, n long, k long, cut int, body binary"
+    """(fp, ch, n, cut, body): the bytes of contexts, from distinct texts. asked: key, reps (the contexts whose bytes
+    its text gives)."""
+    joined = texts.join(asked.hint("shuffle_hash"), "key").select("key", "text", "reps")
+    schema = "fp long, ch binary, n long, cut int, body binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, SLICE_BYTES):
-            done, seen = [], set()
+            done = []
             for text, reps in zip(common.texts(batch), common.column(batch, "reps").to_pylist(), strict=True):
-                for r in reps:
-                    if r["ch"] not in seen:
-                        seen.add(r["ch"])
-                        done.append((r["fp"], r["ch"], r["n"], r["k"], r["p"] - r["lo"], text[r["lo"] : r["hi"] + length]))
+                done += [(r["fp"], r["ch"], r["n"], r["p"] - r["lo"], text[r["lo"] : r["hi"] + length]) for r in reps]
             if done:
-                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary())
                 cols = [pa.array(list(c), k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(cols, ["fp", "ch", "n", "k", "cut", "body"])
+                yield pa.RecordBatch.from_arrays(cols, ["fp", "ch", "n", "cut", "body"])
 
-    out = joined.mapInArrow(run, schema)
-    # copies of a text give the same context again
-    return out.groupBy("fp", "ch").agg(*(F.first(c).alias(c) for c in ("n", "k", "cut", "body")))
+    return joined.mapInArrow(run, schema)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, most_contexts: int = MOST_CONTEXTS, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -290,24 +286,29 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, most_contexts: int = M
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.select(F.coalesce(F.unhex(F.md5("text")), F.unhex(F.lit(""))).alias("key"), "doc_id", "text")
     every = common.written(entries(texts.where(F.octet_length("text") >= length), length), "anchors")
-    shared = every.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp")
+    # written, so that both sides of the join are plain shuffles: AQE splits a hot class only then
+    shared = common.written(every.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp"), "classes")
     found = every.join(shared, "fp").groupBy("key", "fp", "ch", "lo", "hi", "p").agg(F.count("*").alias("n"))
     found = common.written(found, "shared-anchors")
     context = found.groupBy("fp", "ch").agg(F.sum("n").alias("n"), F.min(F.struct("key", "lo", "hi", "p")).alias("rep"))
-    classes = context.groupBy("fp").agg(F.count("*").alias("k")).where("k > 1")
+    classes = common.written(context.groupBy("fp").agg(F.count("*").alias("k")).where("k > 1"), "open-classes")
     open_ = context.join(classes, "fp")
-    asked = open_.groupBy("rep.key").agg(F.collect_list(F.struct("fp", "ch", "n", "k", "rep.lo", "rep.hi", "rep.p")).alias("reps"))
-    bodies = _contexts(texts, asked, length)
-    ranges = _sorted_classes(bodies.where(F.col("k") <= most_contexts), length)
-    ranges = ranges.unionByName(_hot_classes(bodies.where(F.col("k") > most_contexts), length))
+    unique = texts.groupBy("key").agg(F.first("text").alias("text"))
+
+    def bodies(of: DataFrame) -> DataFrame:
+        reps = F.collect_list(F.struct("fp", "ch", "n", "rep.lo", "rep.hi", "rep.p")).alias("reps")
+        return _contexts(unique, of.groupBy("rep.key").agg(reps), length)
+
+    ranges = _sorted_classes(bodies(open_.where(F.col("k") <= most_contexts)), length)
+    ranges = ranges.unionByName(_hot_classes(bodies(open_.where(F.col("k") > most_contexts)), length))
     twice = context.where("n > 1").select("ch", F.lit(None).cast("array<struct<least:int,most:int>>").alias("ranges"))
     decided = ranges.unionByName(twice)
     whole = F.array(F.struct((F.col("p") - F.col("hi")).alias("least"), (F.col("p") - F.col("lo")).alias("most")))
     held = found.select("key", "ch", "lo", "hi", "p").join(decided, "ch").select("key", "p", F.explode(F.coalesce("ranges", whole)).alias("r"))
     spans = held.select("key", F.struct((F.col("p") - F.col("r.most")).alias("a"), (F.col("p") - F.col("r.least") + length).alias("b")).alias("s"))
     cover = spans.groupBy("key").agg(F.sort_array(F.collect_list("s")).alias("cover"))
-    joined = texts.join(cover.hint("shuffle_hash"), "key", "left").select("key", "doc_id", "text", "cover")
-    fields = [T.StructField("doc_id", docs.schema[id_col].dataType)]
+    joined = unique.join(cover.hint("shuffle_hash"), "key", "left").select("key", "text", "cover")
+    fields = [T.StructField("of", T.BinaryType())]
     fields += [T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())]
     if with_text:
         span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
@@ -328,11 +329,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, most_contexts: int = M
                 kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 row = [len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()]
                 done.append(row + ([[{"start": a, "end": b} for a, b in runs], kept] if with_text else []))
-            cols = [common.column(batch, "doc_id")]
+            cols = [common.column(batch, "key")]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
             if with_text:
                 kinds += [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
             cols += [pa.array(list(c), k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)] if done else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays(cols, schema.fieldNames())
 
-    return joined.mapInArrow(run, schema)
+    judged = joined.mapInArrow(run, schema)
+    return texts.select("key", "doc_id").join(judged, F.col("key") == F.col("of")).select("doc_id", *schema.fieldNames()[1:])
