@@ -35,6 +35,7 @@ from .crossparse import held_out
 
 FOLDS = 5
 BLOCK_BYTES = 6_000_000
+REDUCERS = 8
 SPACE_MARK = "▁"
 
 
@@ -107,22 +108,35 @@ def merge_buckets(dictionary: DataFrame, buckets: int, path: str) -> DataFrame:
                 own = total.setdefault(bucket, {})
                 for w, c in zip(blocks.unpack_tokens(tokens.as_py()), blocks.unpack_numbers(counts.as_py()).tolist(), strict=True):
                     own[w] = own.get(w, 0) + c
-        names = ["bucket", "tokens", "counts", "n", "v", "piece", "piece_n"]
+        names = ["bucket", "tokens", "counts", "n", "v", "pieces"]
         for bucket in sorted(total):
             own = total.pop(bucket)
             words = sorted(own)
             counts = np.fromiter(map(own.__getitem__, words), np.int64, len(words))
             known = np.flatnonzero(counts)
             pieces = vocabulary(path).count([words[k] for k in known], counts[known])
-            used = np.flatnonzero(pieces)
-            values = [bucket, blocks.pack_tokens(words), blocks.squeeze(counts.astype("<i8").tobytes()), int(counts.sum()), len(known), used.tolist(), pieces[used].tolist()]
-            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+            values = [bucket, blocks.pack_tokens(words), blocks.squeeze(counts.astype("<i8").tobytes()), int(counts.sum()), len(known), blocks.squeeze(pieces.astype("<i8").tobytes())]
+            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
 
-    schema = "bucket int, tokens binary, counts binary, n long, v long, piece array<int>, piece_n array<long>"
+    schema = "bucket int, tokens binary, counts binary, n long, v long, pieces binary"
     return dictionary.select("bucket", "tokens", "counts").repartition(buckets, "bucket").mapInArrow(run, schema)
 
 
+def piece_counts(merged: DataFrame, size: int) -> np.ndarray:
+    """The buckets' piece counts added up: packed vectors meet in a few tasks, one vector of each comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, dtype=np.int64)
+        for batch in batches:
+            for data in batch.column(0):
+                total += np.frombuffer(blocks.unsqueeze(data.as_py()), dtype="<i8")
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["pieces"])
+
+    rows = merged.select("pieces").repartition(REDUCERS).mapInArrow(run, "pieces binary").collect()
+    return sum((np.frombuffer(r["pieces"], dtype=np.int64) for r in rows), np.zeros(size, dtype=np.int64))
+
+
 def _answers(dictionary: DataFrame, merged: DataFrame, buckets: int, path: str, scores: np.ndarray) -> DataFrame:
     """(bucket, block, answer): counts and log10 probabilities of each dictionary row's words, in order.
 
@@ -167,10 +181,7 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     ends = base.where("_train").count()
     n, v = merged.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     n, v = n + ends, v + (ends > 0)
-    pieces = merged.select(F.explode(F.arrays_zip("piece", "piece_n")).alias("x")).groupBy("x.piece").agg(F.sum("x.piece_n").alias("n"))
-    counts = np.zeros(vocabulary(path).size)
-    for row in pieces.collect():  # at most the vocabulary
-        counts[row["piece"]] = row["n"]
+    counts = piece_counts(merged, vocabulary(path).size)
     whole = counts.sum() + ends + 0.5 * (len(counts) + 1)
     scores = np.log((counts + 0.5) / whole)
     end_log = math.log10((ends + 0.5) / whole)
