@@ -1,6 +1,66 @@
-"""Corpus pipeline: stages over documents, each calling one operator of lumenstep.llm."""
+"""Corpus pipeline: stages over documents, each calling one operator of lumenstep.llm.
+
+Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns a DataFrame; all but the
+last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenstep.llm import bytebpe, common, crossparse, decontaminate, simhash, surrogates
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognisable language go."""
+    common.ship(spark)
+    return crossparse.keep_known(docs, crossparse.learn(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays."""
+    common.ship(spark)
+    return simhash.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    common.ship(spark)
+    return decontaminate.clean(docs, common.read(spark, sf_dir, "benchmark"))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and secrets become surrogates; n_chars follows the new text."""
+    common.ship(spark)
+    return surrogates.pseudonymise(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of the remaining texts, with digests of the ids and of the decoded bytes."""
+    common.ship(spark)
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bytebpe.encode(docs, path, public_tokenizers.PATTERN, with_ids=True)
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("PII surrogates", pii),
+    ("byte-level BPE", encoding),
+]
+
+#: Language parsing, BM25 retrieval and BPE merging have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result is written as Parquet and read again."""
+    docs = common.read(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = common.written(docs, f"stage-{k}")
+    return docs

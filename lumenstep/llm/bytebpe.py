@@ -153,13 +153,13 @@ def _answers(dictionary: DataFrame, path: str, buckets: int) -> DataFrame:
 
 def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = (), with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the columns of keep, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256; with_ids adds
-    the array ids and the decoded text."""
+    the array ids."""
     columns = list(dict.fromkeys((id_col, *keep)))
     base = docs.select(F.col(text_col).alias("_text"), *columns)
     fields = [T.StructField("doc_id" if c == id_col else c, docs.schema[c].dataType) for c in columns]
     fields += [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if with_ids:
-        fields += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+        fields += [T.StructField("ids", T.ArrayType(T.IntegerType()))]
     schema = T.StructType(fields)
     kinds = [to_arrow_type(f.dataType) for f in fields]
     buckets = blocks.buckets_of(docs)
@@ -176,25 +176,30 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = (),
             shown = [",".join(map(str, x)) for x in ids]
             plain = [own.decode(x) for x in ids]
             count = np.fromiter(map(len, ids), np.int64, len(ids))
-            at, out = 0, []
+            flat = np.fromiter((x for row in ids for x in row), np.int32, int(count.sum())) if with_ids else None
+            first = np.cumsum(count) - count
+            at, out, lists = 0, [], []
             for row in rows:
                 mine = stream[at : at + row[-1]]
                 at += row[-1]
                 places = mine.tolist()
                 decoded = b"".join(map(plain.__getitem__, places))
                 joined = ",".join(map(shown.__getitem__, places))
-                values = [*row[:-1], int(count[mine].sum()), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()]
+                sizes = count[mine]
+                out.append([*row[:-1], int(sizes.sum()), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()])
                 if with_ids:
-                    values += [[x for p in places for x in ids[p]], decoded.decode()]
-                out.append(values)
-                if len(out) == 1000:
-                    yield batch_of(out)
-                    out = []
+                    lists.append(flat[np.repeat(first[mine] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())])
+                if len(out) == 500:
+                    yield batch_of(out, lists)
+                    out, lists = [], []
             if out:
-                yield batch_of(out)
+                yield batch_of(out, lists)
 
-    def batch_of(out: list[list]) -> pa.RecordBatch:
-        cols = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+    def batch_of(out: list[list], lists: list[np.ndarray]) -> pa.RecordBatch:
+        cols = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=False)]
+        if with_ids:
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
+            cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists))))
         return pa.RecordBatch.from_arrays(cols, schema.fieldNames())
 
     return blocks.gather(packed, _answers(dictionary, path, buckets)).mapInArrow(run, schema)

@@ -216,3 +216,16 @@ def predict(docs: DataFrame, samples: tuple[tuple[str, str], ...], keep: tuple[s
 def identify(docs: DataFrame, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Learn from docs and predict every row of docs."""
     return predict(docs, learn(docs, id_col, text_col, lang_col), keep, id_col=id_col, text_col=text_col)
+
+
+def keep_known(docs: DataFrame, samples: tuple[tuple[str, str], ...], min_score: float = 0.0, slice_bytes: int = 4_000_000, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose language is known: not `und`, and a score of at least min_score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = parser(samples) if samples else None
+        for batch in common.slices(batches, slice_bytes, text_col):
+            texts = [x.decode() for x in common.texts(batch, text_col)]
+            found = own.judge(texts) if own else [(UNKNOWN, 0.0)] * len(texts)
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

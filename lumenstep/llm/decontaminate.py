@@ -225,6 +225,34 @@ def index_of(items: tuple) -> Index:
     return _indexes[items]
 
 
+def _blocks(items: DataFrame, block_bytes: int, item_col: str, item_text: str, answer_col: str | None) -> tuple[DataFrame, int]:
+    """(item_id, text, answer) and the number of blocks its size needs."""
+    answer = F.col(answer_col) if answer_col else F.lit(None).cast("string")
+    base = items.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text"), answer.alias("answer")).where(F.col("text").isNotNull())
+    size = base.agg(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("answer"), F.lit(0)) + 16)).first()[0] or 0
+    return base, -(-size // block_bytes)
+
+
+def _block(base: DataFrame, k: int, blocks: int) -> tuple:
+    return tuple(sorted((tuple(r) for r in base.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()), key=repr))
+
+
+def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, stride: int = STRIDE, block_bytes: int = BLOCK_BYTES, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None) -> DataFrame:
+    """The rows of docs, all columns, that hold no item; each block of items is one pass without a shuffle."""
+    base, blocks = _blocks(items, block_bytes, item_col, item_text, answer_col)
+    for k in range(blocks):
+        block = _block(base, k, blocks)
+
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            index = index_of(block)
+            for batch in common.slices(batches, SLICE_BYTES, text_col):
+                found = index.matches([x.decode() for x in common.texts(batch, text_col)], threshold, overlap, stride)
+                yield batch.filter(pa.array([not hits for hits in found], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def find(
     docs: DataFrame,
     items: DataFrame,
@@ -239,10 +267,7 @@ def find(
     answer_col: str | None = None,
 ) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): one row for each verified pair."""
-    base = items.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text"), (F.col(answer_col) if answer_col else F.lit(None).cast("string")).alias("answer"))
-    base = base.where(F.col("text").isNotNull())
-    size = base.agg(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("answer"), F.lit(0)) + 16)).first()[0] or 0
-    blocks = -(-size // block_bytes)
+    base, blocks = _blocks(items, block_bytes, item_col, item_text, answer_col)
     schema = T.StructType(
         [T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("item_id", items.schema[item_col].dataType)]
         + [T.StructField(x, T.DoubleType()) for x in ("score", "question_overlap", "answer_overlap")]
@@ -250,8 +275,7 @@ def find(
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     out = docs.sparkSession.createDataFrame([], schema)
     for k in range(blocks):
-        mine = F.pmod(F.xxhash64("text"), F.lit(blocks)) == k
-        block = tuple(sorted((tuple(r) for r in base.where(mine).collect()), key=repr))
+        block = _block(base, k, blocks)
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             index = index_of(block)

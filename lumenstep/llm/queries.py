@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import bytebpe, crossparse, decontaminate, lattice, linkrank, prefixcount, repetition, simhash, substrings, surrogates
 from .common import read, ship
 
@@ -77,3 +79,8 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_subword_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

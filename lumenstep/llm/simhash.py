@@ -149,3 +149,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = classed.groupBy("root").agg(F.min("low").alias("component_id"))
     by_print = classed.join(ids, "root").select(F.col("fp").alias("known_fp"), "component_id")
     return prints.join(by_print, prints["fp"] == by_print["known_fp"]).select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of docs, all columns, one for each component: that of the smallest id, of the first row on ties."""
+    names = docs.columns
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[docs[c] for c in names]).alias("_all"))
+    ids = rows.select(F.struct(F.col("_all").getField(id_col).alias("id"), F.col("_row").alias("row")).alias("doc_id"), F.col("_all").getField(text_col).alias("text"))
+    found = near_duplicates(ids, max_bits=max_bits).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.row").alias("_row"))
+    return rows.join(found, "_row", "left_semi").select(*[F.col("_all").getField(c).alias(c) for c in names])
