@@ -16,12 +16,12 @@ def function(*names: str):
     return keep
 
 
-def call(name: str, *args) -> Column:
+def call(name: str, *args, **options) -> Column:
     try:
         fn = FUNCTIONS[name.upper()]
     except KeyError:
         raise ValueError(f"the function {name} is unknown") from None
-    return fn(*args)
+    return fn(*args, **options)
 
 
 from . import character, datetime, descriptive, distribution, maths, misc, regex  # noqa: E402,F401

@@ -398,6 +398,7 @@ def mixed(df: DataFrame, y: str, x: Sequence[str], subject: str, classes: Sequen
         parms = {f"UN({i + 1},{j + 1})": float(v[i, j]) for i in range(m) for j in range(i + 1)}
     rows_out = [{"EFFECT": nm, "ESTIMATE": float(b), "STDERR": float(math.sqrt(vv)), "T": float(b / math.sqrt(vv))} for nm, b, vv in zip(cols, beta, np.diag(cov), strict=True)]
     del names_theta
+    parms = {k: float(v) for k, v in parms.items()}
     return {"fixed": rows_out, "covariance": parms, "NEG2LL": float(value), "N": n, "beta": beta, "cov": cov}
 
 

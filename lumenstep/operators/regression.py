@@ -419,7 +419,7 @@ class Linear:
         q = np.linalg.matrix_rank(rows @ self.ginv @ rows.T)
         ss = float(d @ np.linalg.pinv(rows @ self.ginv @ rows.T) @ d)
         f = ss / q / self.mse
-        return {"DF": int(q), "SS": ss, "F": f, "P": dists.f_p(f, q, self.dfe)}
+        return {"DF": int(q), "SS": ss, "F": float(f), "P": float(dists.f_p(float(f), q, float(self.dfe)))}
 
     def lsmeans(self, effect: str, numeric: dict[str, float] | None = None) -> list[dict]:
         parts = effect.split("*")
@@ -478,7 +478,7 @@ def type_one(model: Linear) -> list[dict]:
         s, r = model.sse_of(done)
         ss, q = sse - s, r - rank
         f = ss / q / model.mse if q else math.nan
-        out.append({"EFFECT": e, "DF": q, "SS": ss, "F": f, "P": dists.f_p(f, q, model.dfe)})
+        out.append({"EFFECT": e, "DF": q, "SS": float(ss), "F": float(f), "P": float(dists.f_p(float(f), q, model.dfe))})
         sse, rank = s, r
     return out
 

@@ -6,13 +6,19 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register a (spark, sf_dir) -> DataFrame function, with its DuckDB statement where SQL can express it."""
+def query(name: str, sql: str | None = None, wide: str = ""):
+    """Register a (spark, sf_dir) -> DataFrame function, with its DuckDB statement where SQL can express it. `wide` names
+    integer columns to return as 64-bit, as DuckDB does."""
 
     def keep(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = fn
+
+        def run(spark, sf_dir):
+            df = fn(spark, sf_dir)
+            return df.withColumns({c: df[c].cast("bigint") for c in wide.split()}) if wide else df
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn

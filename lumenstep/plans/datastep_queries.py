@@ -117,7 +117,7 @@ def _multi(spark, d):
     return D.multi_output(c, [{"tag": F.lit("a"), "v": F.col("c_acctbal")}, {"tag": F.lit("b"), "v": F.col("c_acctbal") * 2}]).select("c_custkey", "tag", "v")
 
 
-@query("ds_do_loop", "SELECT n_nationkey, i, n_nationkey * i AS x FROM nation, unnest(range(1, n_regionkey + 1)) AS u(i)")
+@query("ds_do_loop", "SELECT n_nationkey, i, n_nationkey * i AS x FROM nation, unnest(range(1, n_regionkey + 1)) AS u(i)", wide="i x")
 def _loop(spark, d):
     return D.do_loop(t(spark, d, "nation").select("n_nationkey", "n_regionkey"), "i", F.lit(1), F.col("n_regionkey"), F.lit(1), {"x": F.col("n_nationkey") * F.col("i")}).drop("n_regionkey")
 

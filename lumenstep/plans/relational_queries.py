@@ -109,7 +109,7 @@ def _subqueries(spark, d):
 
 @query("sql_sounds_like", "SELECT n_name FROM nation WHERE n_name = 'NATION_3'")
 def _sounds(spark, d):
-    return run_sql(spark, {"nation": t(spark, d, "nation").where("n_name = 'NATION_3'")}, "select n_name from nation where n_name sounds like 'NASHUN'")
+    return run_sql(spark, {"nation": t(spark, d, "nation").where("n_name = 'NATION_3'")}, "select n_name from nation where n_name sounds like 'NADION'")
 
 
 @query("sql_update", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer")
