@@ -15,8 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..values import nulls_like
 from .relational import key_join
+from .running import cumulate
 
 
 def order_of(keys: Sequence[str]) -> list[Column]:
@@ -68,15 +68,10 @@ def dif(df: DataFrame, name: str, expr: Column, order: Sequence[str], n: int = 1
 
 
 def row_numbers(df: DataFrame, order: Sequence[str], name: str = "_n_", by: Sequence[str] = ()) -> DataFrame:
-    """_N_. Without BY the numbers come from a range sort and offsets of its parts, so no task sees all rows."""
+    """_N_. Without BY the numbers are a running total over value ranges, so no task sees all rows."""
     if by:
         return df.withColumn(name, F.row_number().over(by_window(by, order)))
-    parts = df.orderBy(*order_of(order)).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
-    size = parts.groupBy("__part").agg(F.count("*").alias("__n"))
-    start = size.withColumn("__start", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inner = Window.partitionBy("__part").orderBy("__at")
-    out = parts.join(F.broadcast(start.select("__part", "__start")), "__part")
-    return out.withColumn(name, F.row_number().over(inner) + F.col("__start")).drop("__part", "__at", "__start")
+    return cumulate(df, F.lit(1).cast("long"), order, name)
 
 
 def flags(df: DataFrame, order: Sequence[str], end: str | None = None, nobs: str | None = None) -> DataFrame:

@@ -10,10 +10,11 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..stats import dists
+from .running import cumulate
 from .sorting import rank
 from .summary import cells
 
@@ -355,7 +356,7 @@ def normality(df: DataFrame, v: str) -> DataFrame:
     s = df.agg(F.count(v).alias("n"), F.avg(x).alias("m"), F.stddev_samp(x).alias("s")).first()
     n = s["n"]
     c = df.where(F.col(v).isNotNull()).groupBy(x.alias("x")).agg(F.count("*").alias("c"))
-    c = c.withColumn("hi", F.sum("c").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
+    c = cumulate(c, F.col("c"), ["x"], "hi")
     f = batch(lambda z: min(1 - 1e-16, max(1e-300, dists.norm_cdf(z))), (F.col("x") - s["m"]) / s["s"])
     c = c.withColumn("f", f).withColumn("lo", F.col("hi") - F.col("c"))
     # sums over the tied ranks lo + 1 .. hi

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distribution import probit
 from .datastep import order_of
+from .running import cumulate
 
 
 def sort(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -38,17 +39,22 @@ def rank(df: DataFrame, var: Sequence[str], by: Sequence[str] = (), ties: str =
     """RANK: TIES= MEAN LOW HIGH DENSE; GROUPS=; or method FRACTION NPLUS1 PERCENT BLOM TUKEY VW SAVAGE.
 
     Missing values get no rank. Ranks of one variable are an aggregate over its distinct values, so ties are combined
-    before the window; the window still orders one BY group's distinct values in a task."""
+    before anything is ordered; without BY the running counts are dealt over value ranges."""
     out = df
     for v, name in zip(var, names or var, strict=True):
         counted = df.where(F.col(v).isNotNull()).groupBy(*by, v).agg(F.count("*").alias("__n"))
         part = Window.partitionBy(*by)
         w = part.orderBy(F.col(v).desc() if descending else F.col(v).asc())
-        before = F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1))
-        total = F.sum("__n").over(part)
-        low = F.coalesce(before, F.lit(0)) + 1
-        high = low + F.col("__n") - 1
-        by_ties = {"MEAN": (low + high) / 2, "LOW": low, "HIGH": high, "DENSE": F.row_number().over(w)}
+        if by:
+            high = F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0))
+            total, dense = F.sum("__n").over(part), F.row_number().over(w)
+        else:
+            way = ["-" + v if descending else v]
+            counted = cumulate(cumulate(counted, F.col("__n"), way, "__hi"), F.lit(1).cast("long"), way, "__dense")
+            counted = counted.crossJoin(F.broadcast(counted.agg(F.sum("__n").alias("__sum"))))
+            high, total, dense = F.col("__hi"), F.col("__sum"), F.col("__dense")
+        low = high - F.col("__n") + 1
+        by_ties = {"MEAN": (low + high) / 2, "LOW": low, "HIGH": high, "DENSE": dense}
         r = by_ties[ties.upper()]
         counted = counted.withColumns({"__low": low, "__high": high, "__all": total, "__r": r.cast("double")})
         n, x = F.col("__all"), F.col("__r")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..stats import dists
+from .running import cumulate
 
 QUANTILES = {"P1": 0.01, "P5": 0.05, "P10": 0.1, "P25": 0.25, "Q1": 0.25, "MEDIAN": 0.5, "P50": 0.5, "P75": 0.75, "Q3": 0.75, "P90": 0.9, "P95": 0.95, "P99": 0.99, "QRANGE": None}
 SIMPLE = ("N", "NMISS", "MIN", "MAX", "RANGE", "SUM", "MEAN", "STD", "VAR", "STDERR", "CV", "USS", "CSS", "SKEWNESS", "KURTOSIS", "SUMWGT")
@@ -138,9 +139,12 @@ def _quantile_names(points: dict[str, float]) -> list[str]:
 
 def definition5(counted: DataFrame, keys: Sequence[str], points: dict[str, float], weight: str | None = None) -> DataFrame:
     """Quantiles of (keys, __x, __c): with np whole the mean of values np and np + 1, else the value floor(np) + 1."""
-    part = Window.partitionBy(*keys)
-    run = part.orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumns({"__hi": F.sum("__c").over(run), "__n": F.sum("__c").over(part)})
+    if keys:
+        part = Window.partitionBy(*keys)
+        run = part.orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = counted.withColumns({"__hi": F.sum("__c").over(run), "__n": F.sum("__c").over(part)})
+    else:
+        ranked = cumulate(counted, F.col("__c"), ["__x"], "__hi").crossJoin(F.broadcast(counted.agg(F.sum("__c").alias("__n"))))
     lo = F.col("__hi") - F.col("__c")
     aggs = []
     for (_, p), name in zip(points.items(), _quantile_names(points), strict=True):
@@ -167,19 +171,27 @@ def cells(df: DataFrame, table: Sequence[str], by: Sequence[str] = (), weight: s
 
 def freq_one_way(df: DataFrame, v: str, by: Sequence[str] = (), weight: str | None = None, missing: bool = False) -> DataFrame:
     """v, COUNT, PERCENT, CUM_FREQ, CUM_PCT, in level order."""
-    part = Window.partitionBy(*by)
-    run = part.orderBy(F.col(v).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     out = cells(df, [v], by, weight, missing)
-    out = out.withColumns({"PERCENT": 100 * F.col("COUNT") / F.sum("COUNT").over(part), "CUM_FREQ": F.sum("COUNT").over(run)})
-    return out.withColumn("CUM_PCT", 100 * F.col("CUM_FREQ") / F.sum("COUNT").over(part)).orderBy(*by, v)
+    if by:
+        part = Window.partitionBy(*by)
+        run = part.orderBy(F.col(v).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+        out = out.withColumns({"__all": F.sum("COUNT").over(part), "CUM_FREQ": F.sum("COUNT").over(run)})
+    else:
+        out = cumulate(out, F.col("COUNT"), [v], "CUM_FREQ").crossJoin(F.broadcast(out.agg(F.sum("COUNT").alias("__all"))))
+    out = out.withColumns({"PERCENT": 100 * F.col("COUNT") / F.col("__all"), "CUM_PCT": 100 * F.col("CUM_FREQ") / F.col("__all")})
+    return out.select(*by, v, "COUNT", "PERCENT", "CUM_FREQ", "CUM_PCT").orderBy(*by, v)
 
 
 def freq_two_way(df: DataFrame, row: str, column: str, strata: Sequence[str] = (), weight: str | None = None, missing: bool = False) -> DataFrame:
     """COUNT, PERCENT, ROW_PCT, COL_PCT and expected counts; more variables are strata."""
     s = list(strata)
     out = cells(df, [*s, row, column], (), weight, missing)
-    total, r, c = (F.sum("COUNT").over(Window.partitionBy(*s, *k)) for k in ([], [row], [column]))
-    return out.withColumns({"PERCENT": 100 * F.col("COUNT") / total, "ROW_PCT": 100 * F.col("COUNT") / r, "COL_PCT": 100 * F.col("COUNT") / c, "EXPECTED": r * c / total}).orderBy(*s, row, column)
+    r, c = (F.sum("COUNT").over(Window.partitionBy(*s, *k)) for k in ([row], [column]))
+    if s:
+        total = F.sum("COUNT").over(Window.partitionBy(*s))
+    else:
+        out, total = out.crossJoin(F.broadcast(out.agg(F.sum("COUNT").alias("__all")))), F.col("__all")
+    return out.withColumns({"PERCENT": 100 * F.col("COUNT") / total, "ROW_PCT": 100 * F.col("COUNT") / r, "COL_PCT": 100 * F.col("COUNT") / c, "EXPECTED": r * c / total}).drop("__all").orderBy(*s, row, column)
 
 
 def freq_margins(df: DataFrame, row: str, column: str, weight: str | None = None) -> DataFrame:
