@@ -35,6 +35,7 @@ SAMPLE_DOCS = 40
 DOC_CHARS = 20_000
 SAMPLE_CHARS = 32_000
 TOTAL_CHARS = 320_000
+SLICES = 64
 FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
 WORDS_KEPT = 300_000
@@ -180,8 +181,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"))
     rows = rows.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.length("text").between(1, doc_chars))
     rows = rows.select("lang", "text", F.xxhash64("text").alias("h"))
-    first = Window.partitionBy("lang").orderBy("h")
-    keys = rows.select("lang", "h").distinct().withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample_docs)
+    # the smallest of each language, first within slices of it, so no task sees a language's rows of all partitions
+    keys = rows.select("lang", "h").distinct()
+    for part in (Window.partitionBy("lang", F.pmod("h", F.lit(SLICES))), Window.partitionBy("lang")):
+        keys = keys.withColumn("k", F.row_number().over(part.orderBy("h"))).where(F.col("k") <= sample_docs).drop("k")
     picked = [(r["lang"], r["h"]) for r in keys.collect()]
     if not picked:
         return ()
