@@ -31,7 +31,7 @@ def _fixed(x: Column, d: int) -> Column:
 
 
 def _right(s: Column, w: int | None) -> Column:
-    return s if w is None else F.when(F.length(s) <= w, F.lpad(s, w, " ")).otherwise(F.repeat(F.lit("*"), F.lit(w)))
+    return s if w is None else F.when(F.length(s) <= w, F.lpad(s, w, " ")).when(s.isNotNull(), F.repeat(F.lit("*"), F.lit(w)))
 
 
 def best(x: Column, w: int = 12) -> Column:

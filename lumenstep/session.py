@@ -189,7 +189,8 @@ class Session:
     # macro variables from data ---------------------------------------------------------------------------------------------
     def symput(self, df: DataFrame, name: str, column: str) -> None:
         """CALL SYMPUT: the last row's value, as text."""
-        row = df.select(F.max_by(F.col(column).cast("string"), F.monotonically_increasing_id())).first()
+        numbered = df.select(F.col(column).cast("string").alias("v"), F.monotonically_increasing_id().alias("k"))
+        row = numbered.select(F.max_by("v", "k")).first()
         self.symbols[name.upper()] = "" if row is None or row[0] is None else row[0]
 
     def into(self, df: DataFrame, names: list[str], separator: str | None = None, most: int = 65_536) -> None:
