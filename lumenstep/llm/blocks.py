@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import pickle
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 BLOCK_BYTES = 12_000_000
 
 
@@ -63,25 +66,25 @@ class Block:
 
     def __init__(self) -> None:
         self.numbers: dict[bytes, int] = {}
-        self.stream: list[int] = []
-        self.counted: list[int] = []
+        self.stream = array("I")
+        self.counted = array("I")
         self.rows: list[tuple] = []
         self.bytes = 0
 
     def add(self, row: tuple, tokens: list[bytes], counted: bool, size: int) -> None:
         numbers = self.numbers
         new = [numbers.setdefault(w, len(numbers)) for w in tokens]
-        self.stream += new
+        self.stream.extend(new)
         self.rows.append((*row, len(new)))
         if counted:
-            self.counted += new
+            self.counted.extend(new)
         self.bytes += size
 
     def pack(self, buckets: int) -> tuple[bytes, bytes]:
         """What the block keeps, and its dictionary by bucket."""
         n = len(self.numbers)
-        stream = np.asarray(self.stream, dtype=np.int64)
-        count = np.bincount(np.asarray(self.counted, dtype=np.int64), minlength=n)
+        stream = np.array(self.stream, dtype=np.int64)
+        count = np.bincount(np.array(self.counted, dtype=np.int64), minlength=n)
         place = np.empty(n, dtype=np.int64)
         place[np.argsort(-np.bincount(stream, minlength=n), kind="stable")] = np.arange(n)
         parts: list[list[tuple[bytes, int]]] = [[] for _ in range(buckets)]
@@ -126,7 +129,7 @@ def pack(docs: DataFrame, columns: list[str], tokens_of: Callable[[bytes], list[
         if block.rows:
             yield flush()
 
-    return docs.mapInArrow(run, "block string, pack binary" + ", dictionary binary" * split)
+    return docs.mapInArrow(common.tidied(run), "block string, pack binary" + ", dictionary binary" * split)
 
 
 def parts(packed: DataFrame) -> DataFrame:
@@ -142,7 +145,7 @@ def parts(packed: DataFrame) -> DataFrame:
                     cols = [pa.array(list(found), pa.int32()), pa.array([block] * len(found)), pa.array(tokens, pa.binary()), pa.array(counts, pa.binary())]
                     yield pa.RecordBatch.from_arrays(cols, ["bucket", "block", "tokens", "counts"])
 
-    return packed.select("block", "dictionary" if split else "pack").mapInArrow(run, "bucket int, block string, tokens binary, counts binary")
+    return packed.select("block", "dictionary" if split else "pack").mapInArrow(common.tidied(run), "bucket int, block string, tokens binary, counts binary")
 
 
 def gather(packed: DataFrame, answers: DataFrame, partitions: int | None = None) -> DataFrame:

@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from . import blocks
+from . import blocks, common
 
-_MEMO = 400_000
+_MEMO = 100_000
 
 
 class Codec:
@@ -146,9 +146,10 @@ def _answers(dictionary: DataFrame, path: str, buckets: int) -> DataFrame:
                 flat = np.fromiter((x for row in ids for x in row), np.int64, int(size.sum()))
                 out.append(blocks.pickle.dumps((blocks.pack_numbers(size), blocks.pack_numbers(flat))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["bucket", "block", "answer"])
+        own.memo.clear()
 
     owned = dictionary.select("bucket", "block", "tokens").repartition(buckets, "bucket")
-    return owned.mapInArrow(run, "bucket int, block string, answer binary")
+    return owned.mapInArrow(common.tidied(run), "bucket int, block string, answer binary")
 
 
 def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = (), with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,4 +203,4 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = (),
             cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists))))
         return pa.RecordBatch.from_arrays(cols, schema.fieldNames())
 
-    return blocks.gather(packed, _answers(dictionary, path, buckets)).mapInArrow(run, schema)
+    return blocks.gather(packed, _answers(dictionary, path, buckets)).mapInArrow(common.tidied(run), schema)

@@ -38,7 +38,7 @@ TOTAL_CHARS = 320_000
 SLICES = 64
 FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000
 _PIECE = 64
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -213,7 +213,7 @@ def predict(docs: DataFrame, samples: tuple[tuple[str, str], ...], keep: tuple[s
             cols += [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, schema.fieldNames())
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(common.tidied(run), schema)
 
 
 def identify(docs: DataFrame, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -231,4 +231,4 @@ def keep_known(docs: DataFrame, samples: tuple[tuple[str, str], ...], min_score:
             found = own.judge(texts) if own else [(UNKNOWN, 0.0)] * len(texts)
             yield batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.tidied(run), docs.schema)

@@ -249,7 +249,7 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
                 found = index.matches([x.decode() for x in common.texts(batch, text_col)], threshold, overlap, stride)
                 yield batch.filter(pa.array([not hits for hits in found], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(common.tidied(run), docs.schema)
     return docs
 
 
@@ -293,5 +293,5 @@ def find(
         from pyspark.sql.pandas.types import to_arrow_type
 
         to_arrow = [to_arrow_type(f.dataType) for f in schema.fields[1:]]
-        out = texts.mapInArrow(run, schema) if k == 0 else out.unionByName(texts.mapInArrow(run, schema))
+        out = texts.mapInArrow(common.tidied(run), schema) if k == 0 else out.unionByName(texts.mapInArrow(common.tidied(run), schema))
     return out

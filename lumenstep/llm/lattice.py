@@ -120,7 +120,7 @@ def merge_buckets(dictionary: DataFrame, buckets: int, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
 
     schema = "bucket int, tokens binary, counts binary, n long, v long, pieces binary"
-    return dictionary.select("bucket", "tokens", "counts").repartition(buckets, "bucket").mapInArrow(run, schema)
+    return dictionary.select("bucket", "tokens", "counts").repartition(buckets, "bucket").mapInArrow(common.tidied(run), schema)
 
 
 def piece_counts(merged: DataFrame, size: int) -> np.ndarray:
@@ -133,7 +133,7 @@ def piece_counts(merged: DataFrame, size: int) -> np.ndarray:
                 total += np.frombuffer(blocks.unsqueeze(data.as_py()), dtype="<i8")
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["pieces"])
 
-    rows = merged.select("pieces").repartition(REDUCERS).mapInArrow(run, "pieces binary").collect()
+    rows = merged.select("pieces").repartition(REDUCERS).mapInArrow(common.tidied(run), "pieces binary").collect()
     return sum((np.frombuffer(r["pieces"], dtype=np.int64) for r in rows), np.zeros(size, dtype=np.int64))
 
 
@@ -167,7 +167,7 @@ def _answers(dictionary: DataFrame, merged: DataFrame, buckets: int, path: str,
                 cols = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.string(), pa.binary()), strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, ["bucket", "block", "answer"])
 
-    return rows.mapInArrow(run, "bucket int, block string, answer binary")
+    return rows.mapInArrow(common.tidied(run), "bucket int, block string, answer binary")
 
 
 def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,4 +210,4 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                 cols = [pa.array(list(col), kind) for col, kind in zip(zip(*done[k : k + 5000], strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, schema.fieldNames())
 
-    return blocks.gather(packed.select("block", "pack"), answers, 2 * buckets).mapInArrow(run, schema)
+    return blocks.gather(packed.select("block", "pack"), answers, 2 * buckets).mapInArrow(common.tidied(run), schema)

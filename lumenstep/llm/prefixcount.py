@@ -31,7 +31,7 @@ from . import common
 SPACE_MARK = "▁"
 LIMIT = 4096
 CHUNKS_KEPT = 300_000
-PAIRS_KEPT = 1_500_000
+PAIRS_KEPT = 1_000_000
 _CHUNK = re.compile(f"{SPACE_MARK}+[^{SPACE_MARK}\n]*|\n[^{SPACE_MARK}\n]*|[^{SPACE_MARK}\n]+")
 
 
@@ -193,4 +193,4 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = LIMIT, slice_byt
             cols += [pa.array([n > limit for n in counts]), pa.array(fit, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, schema.fieldNames())
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(common.tidied(run), schema)

@@ -171,4 +171,4 @@ def judge(
             cols += [pa.array(failed), pa.array(~failed & ~drop), pa.array(m["covered"]), pa.array(m["longest"])]
             yield pa.RecordBatch.from_arrays(cols, [f.name for f in fields])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, T.StructType(fields))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(common.tidied(run), T.StructType(fields))

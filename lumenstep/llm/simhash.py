@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 fps.append(fp)
             yield pa.RecordBatch.from_arrays([common.column(batch, "doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(common.tidied(run), schema)
 
 
 def _cells(fp: Column) -> tuple[Column, Column]:

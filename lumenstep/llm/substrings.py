@@ -133,7 +133,7 @@ def entries(texts: DataFrame, length: int) -> DataFrame:
                 cols += [pa.array(x, pa.int32()) for x in (lo, hi, p)]
                 yield pa.RecordBatch.from_arrays(cols, ["key", "fp", "ch", "lo", "hi", "p"])
 
-    return texts.select("key", "text").mapInArrow(run, schema)
+    return texts.select("key", "text").mapInArrow(common.tidied(run), schema)
 
 
 def repeated_offsets(lefts: list[bytes], rights: list[bytes], length: int) -> list[list[tuple[int, int]]]:
@@ -201,7 +201,7 @@ def _sorted_classes(contexts: DataFrame, length: int) -> DataFrame:
             yield out
 
     ordered = contexts.select("fp", "ch", "n", "cut", "body").repartition("fp").sortWithinPartitions("fp")
-    return ordered.mapInArrow(run, _RANGES)
+    return ordered.mapInArrow(common.tidied(run), _RANGES)
 
 
 _RANGES = "ch binary, ranges array<struct<least:int,most:int>>"
@@ -241,7 +241,7 @@ def _hot_classes(contexts: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["bucket", "block", "answer"])
 
     owned = blocks.parts(packed).repartition(buckets, "bucket")
-    answers = owned.mapInArrow(count, "bucket int, block string, answer binary")
+    answers = owned.mapInArrow(common.tidied(count), "bucket int, block string, answer binary")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, stream, found in blocks.opened(batches):
@@ -257,7 +257,7 @@ def _hot_classes(contexts: DataFrame, length: int) -> DataFrame:
             if done:
                 yield _range_batch(done)
 
-    return blocks.gather(packed, answers).mapInArrow(judge, _RANGES)
+    return blocks.gather(packed, answers).mapInArrow(common.tidied(judge), _RANGES)
 
 
 def _contexts(texts: DataFrame, asked: DataFrame, length: int) -> DataFrame:
@@ -276,7 +276,7 @@ def _contexts(texts: DataFrame, asked: DataFrame, length: int) -> DataFrame:
                 cols = [pa.array(list(c), k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, ["fp", "ch", "n", "cut", "body"])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(common.tidied(run), schema)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, most_contexts: int = MOST_CONTEXTS, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -336,5 +336,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, most_contexts: int = M
             cols += [pa.array(list(c), k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)] if done else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays(cols, schema.fieldNames())
 
-    judged = joined.mapInArrow(run, schema)
+    judged = joined.mapInArrow(common.tidied(run), schema)
     return texts.select("key", "doc_id").join(judged, F.col("key") == F.col("of")).select("doc_id", *schema.fieldNames()[1:])
