@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from os.path import commonprefix
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +29,7 @@ from . import common
 
 SPACE_MARK = "▁"
 LIMIT = 4096
-CHUNKS_KEPT = 300_000
+CHUNKS_KEPT = 700_000
 PAIRS_KEPT = 1_000_000
 _CHUNK = re.compile(f"{SPACE_MARK}+[^{SPACE_MARK}\n]*|\n[^{SPACE_MARK}\n]*|[^{SPACE_MARK}\n]+")
 
@@ -53,7 +52,12 @@ class PrefixCounter:
         if any(SPACE_MARK in p.piece.lstrip(SPACE_MARK) or "\n" in p.piece for p in pieces):
             raise ValueError("a piece spans words or lines")
         self.score = {p.piece: p.score for p in pieces}
-        self.longest = max(map(len, self.score))
+        # by its last two characters, the lengths that a token can have
+        tails: dict[str, set[int]] = {}
+        for piece in self.score:
+            if len(piece) > 1:
+                tails.setdefault(piece[-2:], set()).add(len(piece))
+        self.tails = {k: tuple(sorted(v, reverse=True)) for k, v in tails.items()}
         self.fits: dict[tuple[str, str], bool] = {}
         self.known: dict[str, int] = {}
         self.word, self.last, self.counts = "", [""], [0]
@@ -73,14 +77,17 @@ class PrefixCounter:
 
     def walk(self, chunk: str) -> list[int]:
         """The counts of all prefixes of a chunk; continues from the prefix shared with the chunk walked before."""
-        start = len(commonprefix((self.word, chunk)))
+        start, most, word = 0, min(len(self.word), len(chunk)), self.word
+        while start < most and word[start] == chunk[start]:
+            start += 1
         last, counts = self.last, self.counts
         del last[start + 1 :], counts[start + 1 :]
-        score, fits, longest = self.score, self.fits, self.longest
+        score, fits, tails = self.score, self.fits, self.tails
         for end in range(start + 1, len(chunk) + 1):
-            for begin in range(max(0, end - longest), end):
+            for size in (*tails.get(chunk[end - 2 : end], ()), 1) if end > 1 else (1,):
+                begin = end - size
                 token = chunk[begin:end]
-                if end - begin > 1 and token not in score:
+                if size > 1 and (begin < 0 or token not in score):
                     continue
                 before = last[begin]
                 if before:
@@ -94,7 +101,7 @@ class PrefixCounter:
                     pair = ("", token)
                     ok = fits.get(pair)
                     if ok is None:
-                        ok = fits[pair] = end - begin == 1 or self.merge(token) == [token]
+                        ok = fits[pair] = size == 1 or self.merge(token) == [token]
                 if ok:
                     last.append(token)
                     counts.append(counts[begin] + (1 if token in score else len(token.encode())))
