@@ -40,11 +40,11 @@ def cumulate(df: DataFrame, value: Column, order: Sequence[str], name: str, desc
     first = order[0].lstrip("-")
     down = order[0].startswith("-")
     cuts = cut_points(df, first)
-    dealt = df.withColumn("__b", bucket(first, df.schema[first].dataType, cuts)).withColumn("__v", value)
+    dealt = df.withColumn("__cum_b", bucket(first, df.schema[first].dataType, cuts)).withColumn("__cum_v", value)
     by = [F.col(k[1:]).desc_nulls_last() if k.startswith("-") else F.col(k).asc_nulls_first() for k in order]
-    inner = Window.partitionBy("__b").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
-    totals = dealt.groupBy("__b").agg(F.sum("__v").alias("__t"))  # at most one row for each cut point
-    outer = Window.orderBy(F.col("__b").desc() if down else F.col("__b").asc()).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("__b", F.coalesce(F.sum("__t").over(outer), F.lit(0)).alias("__o"))
-    out = dealt.withColumn(name, F.sum("__v").over(inner)).join(F.broadcast(totals), "__b")
-    return out.withColumn(name, F.col(name) + F.col("__o")).drop("__b", "__v", "__o")
+    inner = Window.partitionBy("__cum_b").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    totals = dealt.groupBy("__cum_b").agg(F.sum("__cum_v").alias("__cum_t"))  # at most one row for each cut point
+    outer = Window.orderBy(F.col("__cum_b").desc() if down else F.col("__cum_b").asc()).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("__cum_b", F.coalesce(F.sum("__cum_t").over(outer), F.lit(0)).alias("__cum_o"))
+    out = dealt.withColumn(name, F.sum("__cum_v").over(inner)).join(F.broadcast(totals), "__cum_b")
+    return out.withColumn(name, F.col(name) + F.col("__cum_o")).drop("__cum_b", "__cum_v", "__cum_o")
