@@ -34,9 +34,9 @@ def _math(spark, d):
     )
 
 
-@query("fn_round", """SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN -1 ELSE 1 END * floor(abs(c_acctbal) / 25 + 0.5) * 25 AS r, CASE WHEN c_acctbal < 0 THEN -1 ELSE 1 END * ceil(abs(c_acctbal) / 25 - 0.5) * 25 AS z FROM customer WHERE c_acctbal <> 0""")
+@query("fn_round", """SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN -1 ELSE 1 END * floor(abs(c_acctbal) / 25 + 0.5) * 25 + 0.0 AS r, CASE WHEN c_acctbal < 0 THEN -1 ELSE 1 END * ceil(abs(c_acctbal) / 25 - 0.5) * 25 + 0.0 AS z FROM customer WHERE c_acctbal <> 0""")
 def _round(spark, d):
-    return t(spark, d, "customer").where("c_acctbal <> 0").select("c_custkey", (call("ROUND", "c_acctbal", 25)).alias("r"), call("ROUNDZ", "c_acctbal", 25).alias("z"))
+    return t(spark, d, "customer").where("c_acctbal <> 0").select("c_custkey", (call("ROUND", "c_acctbal", 25) + 0.0).alias("r"), (call("ROUNDZ", "c_acctbal", 25) + 0.0).alias("z"))
 
 
 @query("fn_combinatorics", "SELECT DISTINCT n, k, round(factorial(n) / factorial(k) / factorial(n - k))::DOUBLE AS comb, round(factorial(n) / factorial(n - k))::DOUBLE AS perm FROM (SELECT p_size % 12 + 3 AS n, p_size % 3 AS k FROM part)")

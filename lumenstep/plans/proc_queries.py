@@ -110,10 +110,10 @@ def _across(spark, d):
     return rounded(S.report(t(spark, d, "orders"), ["o_orderpriority"], {"o_totalprice": "SUM"}, across="o_orderstatus", across_values=["F", "O"]).drop("_BREAK_"), 2)
 
 
-@query("proc_univariate_moments", """SELECT 'p_retailprice' AS VAR_NAME, count(*)::DOUBLE AS N, round(avg(p_retailprice), 6) AS MEAN, round(stddev_samp(p_retailprice), 6) AS STD, round(skewness(p_retailprice), 6) AS SKEWNESS, round(kurtosis(p_retailprice), 6) AS KURTOSIS, round(var_pop(p_retailprice) * count(*), 3) AS CSS FROM part""")
+@query("proc_univariate_moments", """SELECT 'p_retailprice' AS VAR_NAME, count(*)::DOUBLE AS N, round(avg(p_retailprice), 6) AS MEAN, round(stddev_samp(p_retailprice), 6) AS STD, round(skewness(p_retailprice), 6) + 0.0 AS SKEWNESS, round(kurtosis(p_retailprice), 6) AS KURTOSIS, round(var_pop(p_retailprice) * count(*), 3) AS CSS FROM part""")
 def _univariate(spark, d):
     u = S.univariate(t(spark, d, "part"), ["p_retailprice"])
-    return u.select("VAR_NAME", "N", F.round("MEAN", 6).alias("MEAN"), F.round("STD", 6).alias("STD"), F.round("SKEWNESS", 6).alias("SKEWNESS"), F.round("KURTOSIS", 6).alias("KURTOSIS"), F.round("CSS", 3).alias("CSS"))
+    return u.select("VAR_NAME", "N", F.round("MEAN", 6).alias("MEAN"), F.round("STD", 6).alias("STD"), (F.round("SKEWNESS", 6) + 0.0).alias("SKEWNESS"), F.round("KURTOSIS", 6).alias("KURTOSIS"), F.round("CSS", 3).alias("CSS"))
 
 
 @query("proc_univariate_mode", "SELECT l_returnflag, arg_min(q, (-n, q)) AS MODE FROM (SELECT l_returnflag, l_quantity AS q, count(*) AS n FROM lineitem GROUP BY 1, 2) WHERE n > 1 GROUP BY 1")

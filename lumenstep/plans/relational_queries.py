@@ -21,11 +21,11 @@ def _predicates(spark, d):
         and p_type contains 'A' and p_brand in (select p_brand from part where p_size > 40) and p_retailprice is not missing""")
 
 
-@query("sql_calculated", """SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net, round(round(l_extendedprice * (1 - l_discount), 4) * (1 + l_tax), 4) AS gross
+@query("sql_calculated", """SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net, round(round(l_extendedprice * (1 - l_discount), 4) * (1 + l_tax), 6) AS gross
   FROM lineitem WHERE round(l_extendedprice * (1 - l_discount), 4) > 50000""")
 def _calculated(spark, d):
     return run_sql(spark, {"lineitem": t(spark, d, "lineitem")}, """select l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) as net,
-        round(calculated net * (1 + l_tax), 4) as gross from lineitem where calculated net > 50000""")
+        round(calculated net * (1 + l_tax), 6) as gross from lineitem where calculated net > 50000""")
 
 
 @query("sql_missing_literal", "SELECT count(*) AS n FROM (SELECT nullif(c_nationkey, 3) AS k FROM customer) WHERE k IS NULL")
