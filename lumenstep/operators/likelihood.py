@@ -380,7 +380,7 @@ def mixed(df: DataFrame, y: str, x: Sequence[str], subject: str, classes: Sequen
         beta = np.linalg.solve(xx, xy)
         rss = a[p, p] - beta @ xy
         dof = n - p if method == "REML" else n
-        s2 = rss / dof if free else 1.0
+        s2 = max(rss / dof, 1e-300) if free else 1.0  # an exact fit
         value = logdet + (dof * math.log(s2) + dof if free else rss) + dof * math.log(2 * math.pi)
         if method == "REML":
             value += np.linalg.slogdet(xx)[1]

@@ -18,6 +18,7 @@ from . import output, sources, sql
 from .expressions import Scope, compile_, number, parse, truth
 from .macro import Macros
 from .operators import datastep as D
+from .operators import graphics as G
 from .operators import inference as I
 from .operators import likelihood as L
 from .operators import multivariate as M
@@ -296,7 +297,7 @@ class Program:
 
     @staticmethod
     def _model(text: str) -> tuple[str, list[str], dict[str, str]]:
-        left, _, right = text.partition("=")
+        left, right = re.match(r"(?s)((?:\([^)]*\)|[^=(])*)=(.*)$", text).groups()
         terms, _, opts = right.partition("/")
         y = re.sub(r"\(.*?\)", "", left).split()[-1]
         return y, terms.split(), options_of(opts) | ({"event": bare(m[1])} if (m := re.search(r"(?i)event\s*=\s*('[^']*'|\"[^\"]*\")", left)) else {})
@@ -529,6 +530,53 @@ class Program:
         if "cntlin" in o:
             cat.load_control(self.input(o["cntlin"]).limit(100_000).collect())
 
+    # plots: the data series, in results
+    def proc_sgplot(self, o, st, df) -> None:
+        for word, texts in st.items():
+            for text in texts:
+                head, _, opts = text.partition("/")
+                oo = options_of(f"{head} {opts}")
+                real = {c.lower(): c for c in df.columns}
+                col = lambda k, oo=oo, real=real: real.get(oo.get(k, "").lower())
+                v = real.get(head.split()[0].lower()) if head.split() else None
+                made = {
+                    "scatter": lambda: G.series(df, col("x"), col("y"), col("group")),
+                    "series": lambda: G.series(df, col("x"), col("y"), col("group")),
+                    "vbar": lambda: G.bars(df, v, col("response"), oo.get("stat", "SUM" if "response" in oo else "FREQ"), col("group")),
+                    "hbar": lambda: G.bars(df, v, col("response"), oo.get("stat", "SUM" if "response" in oo else "FREQ"), col("group")),
+                    "histogram": lambda: self._histogram(df, v),
+                    "density": lambda: G.density(df, v, oo.get("type", "NORMAL")),
+                    "vbox": lambda: G.box(df, v, col("category")),
+                    "reg": lambda: G.regression_line(df, col("x"), col("y")),
+                    "loess": lambda: G.loess(df, col("x"), col("y")),
+                }
+                if word in made:
+                    self.results[f"SGPLOT {word} {len(self.results)}"] = made[word]()
+
+    @staticmethod
+    def _histogram(df: DataFrame, v: str, bins: int = 20) -> DataFrame:
+        lo, hi = df.agg(F.min(v).cast("double"), F.max(v).cast("double")).first()
+        return U.histogram(df, v, lo or 0.0, ((hi or 0.0) - (lo or 0.0)) / bins or 1.0, bins)
+
+    def proc_gchart(self, o, st, df) -> None:
+        for word in ("vbar", "hbar", "pie"):
+            for text in st.get(word, []):
+                head, _, opts = text.partition("/")
+                oo = options_of(opts)
+                for v in head.split():
+                    self.results[f"GCHART {word} {v}"] = G.bars(df, v, oo.get("sumvar"), oo.get("type", "SUM" if "sumvar" in oo else "FREQ"), oo.get("group"))
+
+    def proc_gplot(self, o, st, df) -> None:
+        for text in st.get("plot", []):
+            for ys, x, _, group in re.findall(r"(\([^)]*\)|\w+)\s*\*\s*(\w+)(\s*=\s*(\w+))?", text.split("/")[0]):
+                for y in ys.strip("()").split():
+                    self.results[f"GPLOT {y}*{x}"] = G.series(df, x, y, group or None)
+
+    def proc_plot(self, o, st, df) -> None:
+        for text in st.get("plot", []):
+            for y, x in re.findall(r"(\w+)\s*\*\s*(\w+)", text.split("/")[0]):
+                self.listing.append(G.text_plot(df, x, y))
+
     def proc_options(self, o, st, df) -> None:
         self.listing.append("\n".join(f"{k}={v}" for k, v in sorted(self.session.options.items())))
 

@@ -96,3 +96,25 @@ def test_symput_and_call_execute(p):
 def test_row_loops_are_refused(p):
     with pytest.raises(NotImplementedError):
         p.run("data x; set class; do while (age > 1); age = age - 1; end; run;")
+
+
+def test_plots(p):
+    p.run("""proc sgplot data=class; scatter x=height y=weight / group=sex; vbar sex / response=age stat=mean; histogram height; density height; vbox height / category=sex; reg x=height y=weight; loess x=height y=age; run;
+        proc gchart data=class; vbar sex / sumvar=age type=sum; pie sex; run; proc gplot data=class; plot weight*height=sex; run; proc plot data=class; plot weight*height; run;""")
+    assert len([k for k in p.results if k.startswith("SGPLOT")]) == 7
+    assert {r["sex"]: r["SUM"] for r in p.results["GCHART vbar sex"].collect()} == {"F": 52, "M": 40}
+    assert p.results["GPLOT weight*height"].count() == 6 and "A" in p.listing[-1]
+
+
+def test_more_procedures(p):
+    p.run("""data big; set class; do k = 1 to 6; z = (k > 3); c = mod(k * age, 4); h2 = height + k + mod(k * age, 3) / 10; output; end; run;
+        proc logistic data=big; model z(event='1') = c h2; output out=lo p=ph; run; proc genmod data=big; model c = h2 / dist=poisson; run;
+        proc glm data=big; class sex; model height = sex weight; lsmeans sex; run; proc npar1way data=class wilcoxon; class sex; var height; run;
+        proc princomp data=class out=pc; var height age; run; proc fastclus data=class maxclusters=2 out=fc; var height age; run;
+        proc discrim data=class out=di; class sex; var height age; run; proc tabulate data=class out=tb; class sex; var age; table sex all, age*mean; run;
+        proc report data=class out=rp; column sex age; define sex / group; define age / analysis mean; run;
+        proc compare base=class compare=class; id name; run; proc datasets lib=work; change pc=pc2; delete fc; run; proc mixed data=big; class name; model h2 = k; random intercept / subject=name; run;""")
+    assert p.session.table("lo").where("ph between 0 and 1").count() == 42 and "Type3" in p.results
+    assert "pc2" in p.session.libraries["work"].list() and "fc" not in p.session.libraries["work"].list()
+    assert p.session.table("tb").count() == 3 and {r["sex"]: r["age"] for r in p.session.table("rp").collect()}["F"] == 13
+    assert p.results["CompareDifferences"].count() == 0 and abs(p.results["Fit"]["beta"][1] - 1) < 0.1
