@@ -34,7 +34,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets become surrogates; n_chars follows the new text."""
     common.ship(spark)
-    return surrogates.pseudonymise(docs).withColumn("n_chars", F.length("text").cast("long"))
+    out = surrogates.pseudonymise(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

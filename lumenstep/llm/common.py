@@ -55,10 +55,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a compressed Parquet table in the shared folder, read back: computed once, lost executors lose nothing."""
+    """df as a compressed Parquet table in the shared folder, read back: computed once, lost executors lose nothing.
+
+    The table goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lumenstep/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
