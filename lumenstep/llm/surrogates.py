@@ -5,7 +5,10 @@ are found with one pattern. A mention's canonical form drops case and separators
 spellings of an entity share one surrogate. A surrogate is derived from a keyed SHA-512 of (kind, canonical form,
 attempt) and keeps the type and format: digits stay digits, letters stay letters of their script and case, separators
 stay, cards keep their first digit and a valid Luhn digit, phones their country code (ten digits without one count as +1), mails their top-level domain,
-names their title, gender and script.
+names their title, gender, script and number of words.
+
+A titled name is all of its initials and capitalised words (particles such as "van der" between them included) up to the
+next other word, an assigned secret all of its characters; neither has a length limit. Names do not run over a line end.
 
 Collision check, over all entities of the corpus: every surrogate must belong to one entity and must not be an entity
 that really occurs. The first owner (lowest attempt, then canonical form) keeps it, the others draw again, round by
@@ -38,6 +41,10 @@ _ENDS = {("L", "m"): "on er ik us", ("L", "f"): "a ina elle ia", ("C", "m"): "о
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _TITLES = "|".join((*MALE, *FEMALE))
+# A name: words with initials, particles or degrees before them, and a last initial. Possessive, so that no long run recurses.
+_BEFORE = r"(?:Dr|Prof|St)\. |\p{Lu}\.[ -]?|\p{Lu} (?=\p{Lu})|(?:v[oa]n(?: de[rnm]?)?|vom|zu|de(?: l[ao]s?)?|del|della|di|da|do|dos|du|ter|ten|bin|ben|ibn|al|el) |[dl]['’]"
+_WORD = rf"(?:{_BEFORE})*+\p{{Lu}}[\p{{L}}\p{{M}}'’-]+"
+_NAME = rf"{_WORD}(?: (?!(?:{_TITLES})(?!\p{{L}})){_WORD})*+(?: (?!I(?!\p{{L}}))\p{{Lu}}(?![\p{{L}}\p{{N}}'’-]))?"
 _SECRET = r"(?i:password|passwd|pwd|secret|token|api_?key)[\"']? ?[=:] ?[\"']?"
 _NUMBERS = [
     rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
@@ -49,7 +56,7 @@ _NUMBERS = [
 _CAPITALS = [
     r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     r"(?<!\w)A[KS]IA[0-9A-Z]{16}(?!\w)",
-    rf"(?<!\w)(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'’-]{{1,40}}",
+    rf"(?<!\w)(?:{_TITLES})\.? {_NAME}",
 ]
 #: Each group of alternatives begins with a look at one character, which settles most places of a text.
 PATTERN = "|".join(
@@ -57,7 +64,7 @@ PATTERN = "|".join(
         r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9][A-Za-z0-9-]{0,62}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
         f"(?=[0-9+(])(?:{'|'.join(_NUMBERS)})",
         f"(?=[A-Zг])(?:{'|'.join(_CAPITALS)})",
-        rf"(?=[pstaPSTA])(?<![A-Za-z]){_SECRET}[A-Za-z0-9+/_.-]{{8,120}}(?<=[A-Za-z0-9+/_-])",
+        rf"(?=[pstaPSTA])(?<![A-Za-z]){_SECRET}[A-Za-z0-9+/_.-]{{8,}}(?<=[A-Za-z0-9+/_-])",
     ]
 )
 #: Every entity but names, some keys and some secrets has a digit or an @: one character class settles most texts without one.
@@ -82,7 +89,7 @@ def kind_of(e: Column) -> Column:
         .when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(e.rlike(r"^(\+|\(\d{3}\)|\d{3}[.-]\d{3}[ .-]\d{4}$)"), "phone")
         .when(e.rlike(r"^[\d -]+$") & (F.length(digits) >= 13), "card")
-        .when(e.rlike(rf"^(?:{_TITLES})\.? \p{{Lu}}"), F.when(e.rlike(rf"^(?:{'|'.join(MALE)})\.? "), "name-m").otherwise("name-f"))
+        .when(e.rlike(rf"^(?:{_TITLES})\.? "), F.when(e.rlike(rf"^(?:{'|'.join(MALE)})\.? "), "name-m").otherwise("name-f"))
         .when(e.rlike(r"^A[KS]IA[0-9A-Z]{16}$"), "key")
         .when(e.rlike(r"^[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?$"), "iban")
         .otherwise("secret")
@@ -97,7 +104,7 @@ def canon_of(kind: Column, e: Column) -> Column:
         .when(kind == "phone", F.regexp_replace(F.regexp_replace(e, "[^0-9+]", ""), r"^(?=\d{10}$)", "+1"))
         .when(kind == "iban", F.regexp_replace(e, " ", ""))
         .when(kind == "secret", F.regexp_replace(e, "^" + _SECRET, ""))
-        .when(kind.startswith("name"), F.lower(F.regexp_replace(e, r"^\S+ ", "")))
+        .when(kind.startswith("name"), F.lower(F.trim(F.regexp_replace(F.regexp_replace(e, r"^\S+ ", ""), r"\.[ -]?", " "))))
         .otherwise(e)
     )
 
@@ -114,14 +121,14 @@ def _pick(alphabet: str, i: str) -> str:
 def _shape(src: str) -> str:
     """Letters to letters of the same script and case, digits to digits; hexadecimal strings stay hexadecimal."""
     low, greek, cyr = "abcdefghijklmnopqrstuvwxyz", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщыэюя"
-    c = f"substring({src}, i, 1)"
+    i = "(k + 1)"  # one pass over the characters: a secret may be long
     return (
-        f"array_join(transform(sequence(1, length({src})), i -> case "
-        f"when {src} rlike '^[0-9a-f]+$' then {_pick('0123456789abcdef', 'i')} "
-        f"when {c} rlike '[0-9]' then {_pick('0123456789', 'i')} "
-        f"when {c} rlike '[a-z]' then {_pick(low, 'i')} when {c} rlike '[A-Z]' then {_pick(low.upper(), 'i')} "
-        f"when {c} rlike '[α-ω]' then {_pick(greek, 'i')} when {c} rlike '[а-я]' then {_pick(cyr, 'i')} "
-        f"else {c} end), '')"
+        f"element_at(transform(array({src} rlike '^[0-9a-f]+$'), hex -> array_join(transform(regexp_extract_all({src}, '(?s).', 0), (c, k) -> case "
+        f"when hex then {_pick('0123456789abcdef', i)} "
+        f"when c rlike '[0-9]' then {_pick('0123456789', i)} "
+        f"when c rlike '[a-z]' then {_pick(low, i)} when c rlike '[A-Z]' then {_pick(low.upper(), i)} "
+        f"when c rlike '[α-ω]' then {_pick(greek, i)} when c rlike '[а-я]' then {_pick(cyr, i)} "
+        f"else c end), '')), 1)"
     )
 
 
@@ -140,9 +147,13 @@ def _name() -> str:
     def of(parts: list[str], script: str) -> str:
         lists = {g: _ENDS[script, g].split() for g in "mf"}
         syllable = lambda i: f"element_at(array({', '.join(repr(p) for p in parts)}), {_byte(i)} % {len(parts)} + 1)"
-        end = {g: f"element_at(array({', '.join(repr(p) for p in x)}), {_byte('4')} % {len(x)} + 1)" for g, x in lists.items()}
+        end = {g: f"element_at(array({', '.join(repr(p) for p in x)}), {_byte('(4 + 7 * k)')} % {len(x)} + 1)" for g, x in lists.items()}
         extra = f"array_join(transform(sequence(1, attempt + 1), i -> case when i > 1 then {syllable('i + 4')} else '' end), '')"
-        return f"concat({syllable('1')}, {syllable('2')}, {extra}, case when kind = 'name-m' then {end['m']} else {end['f']} end)"
+        word = f"concat({syllable('(1 + 7 * k)')}, {syllable('(2 + 7 * k)')}, case when k = 0 then {extra} else '' end, case when kind = 'name-m' then {end['m']} else {end['f']} end)"
+        letter = _pick("".join(sorted({p[0] for p in parts})), "(1 + 7 * k)")
+        # single letters are initials; the first word grows with the attempts, or stands before a name that starts with an initial
+        grown = f"case when k = 0 and attempt >= 4 then concat({word}, ' ', {letter}) else {letter} end"
+        return f"array_join(transform(split(canon, ' '), (w, k) -> case when length(w) = 1 then {grown} else {word} end), ' ')"
 
     return f"case when canon rlike '[а-я]' then {of(_CYRILLIC, 'C')} when canon rlike '[α-ω]' then {of(_GREEK, 'G')} else {of(_LATIN, 'L')} end"
 
@@ -188,7 +199,7 @@ def laid_out() -> Column:
     return F.expr(
         f"""case when kind in ('card', 'ssn', 'phone') then element_at(transform(array(regexp_replace(regexp_replace(sur, case when e like '+%' then '^$' else '^[+]1' end, ''), '[^0-9]', '')), ds -> {fill}), 1)
         when kind = 'iban' then {spaced} when kind = 'email' then {cased}
-        when kind like 'name%' then concat(regexp_extract(e, '^(\\\\S+ )', 1), upper(substring(sur, 1, 1)), substring(sur, 2))
+        when kind like 'name%' then concat(regexp_extract(e, '^(\\\\S+ )', 1), case when e rlike '(^| |[.]|-)\\\\p{{Lu}}[.]' then regexp_replace(initcap(sur), '(?<=^| )(\\\\p{{Lu}})(?= )', '$1.') else initcap(sur) end)
         when kind = 'secret' then concat(substring(e, 1, length(e) - length(canon)), sur) else sur end"""
     )
 

@@ -68,3 +68,37 @@ def test_empty_and_native(spark):
     assert surrogates.pseudonymise(table(spark, [])).count() == 0
     plan = surrogates.pseudonymise(table(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_long_secrets_are_whole(spark):
+    head = "aB3_" * 50
+    one, two = head + "x" * 100, head + "y" * 100
+    jwt = f"{'eyJh' * 40}.{'eyJz' * 30}.{'Sfl-' * 11}"
+    df = spark.createDataFrame([(1, f'token = "{one}" end'), (2, f"token={two}."), (3, f"secret: {jwt}"), (4, "password=" + "Qz9/" * 20_000)], "doc_id long, text string")
+    by = {r["doc_id"]: r["text"] for r in surrogates.pseudonymise(df).collect()}
+    a, b = re.match(r'token = "([A-Za-z0-9_]{300})" end$', by[1])[1], re.match(r"token=([A-Za-z0-9_]{300})\.$", by[2])[1]
+    assert a != b and a != one and b != two and a[-60:] != one[-60:] and b[-60:] != two[-60:]
+    got = by[3].removeprefix("secret: ")
+    assert [len(x) for x in got.split(".")] == [len(x) for x in jwt.split(".")] and not set(got.split(".")) & set(jwt.split("."))
+    assert len(by[4]) == 9 + 80_000 and "Qz9/Qz9/" not in by[4]
+
+
+def test_whole_names(spark):
+    names = ["Mr. John Smith", "Mr John Smith", "Mr John Brown", "Mr J. Smith", "Mr J.R. Smith", "Mr J. R. Smith", "Mrs Mary A. Jones", "Herr Ludwig van Beethoven", "Frau von der Leyen", "Herr Dr. Müller", "г-жа Анна Иванова", "Ms. " + "Al" * 40, "Frau Anna K"]
+    df = spark.createDataFrame([(k, f"yesterday {n}, and others. Then") for k, n in enumerate(names)], "doc_id long, text string")
+    by = {r["doc_id"]: r["text"] for r in surrogates.pseudonymise(df).collect()}
+    new = [re.match(r"yesterday (\S+) (.+), and others\. Then$", by[k]) for k in range(len(names))]
+    for n, m in zip(names, new, strict=True):
+        title, old = n.split(" ", 1)
+        assert m[1] == title and not {w for w in re.findall(r"\w{2,}", old)} & set(re.findall(r"\w{2,}", m[2])), (n, m[0])
+    said = [m[2] for m in new]
+    assert said[0] == said[1] and said[4].replace(".", "") == said[5].replace(".", "") and len(set(said)) == len(said) - 2
+    assert len(said[0].split()) == 2 and re.match(r"[A-Z]\. [A-Z][a-z]+$", said[3])
+
+
+def test_names_end_with_the_name(spark):
+    texts = ["Mr Smith. Then Paris", "Mr Smith met Mrs Jones Paris", "Mr Smith Mrs Jones", "Mr Smith I think", "Mr Smith\nThe end"]
+    found = spark.createDataFrame([(x,) for x in texts], "text string").select(F.regexp_extract_all("text", F.lit(surrogates.PATTERN), F.lit(0))).collect()
+    assert [r[0] for r in found] == [["Mr Smith"], ["Mr Smith", "Mrs Jones Paris"], ["Mr Smith", "Mrs Jones"], ["Mr Smith"], ["Mr Smith"]]
+    run = spark.createDataFrame([("Mr" + " Big" * 50_000,)], "text string").select(F.regexp_extract_all("text", F.lit(surrogates.PATTERN), F.lit(0))).first()[0]
+    assert [len(x) for x in run] == [2 + 4 * 50_000]
