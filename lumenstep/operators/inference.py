@@ -197,10 +197,11 @@ def corr(df: DataFrame, var: Sequence[str], with_: Sequence[str] | None = None,
 
 
 def kendall(df: DataFrame, a: str, b: str, most_levels: int = 4000) -> tuple[float, float]:
-    """tau-b and its normal p-value from the table of distinct pairs: O(levels^2), with a checked number of levels.
-
-    Variables with more levels are counted on the grid of their ranks instead of pairs of rows."""
-    cell = df.groupBy(a, b).agg(F.count("*").alias("n")).limit(most_levels * most_levels + 1).toPandas()
+    """tau-b and its normal p-value from the table of distinct pairs, of which at most most_levels^2 are taken (checked)."""
+    most = most_levels * most_levels
+    cell = df.groupBy(a, b).agg(F.count("*").alias("n")).limit(most + 1).toPandas()
+    if len(cell) > most:
+        raise ValueError("Kendall's tau takes a bounded number of distinct pairs")
     x, y, n = cell[a].to_numpy(), cell[b].to_numpy(), cell["n"].to_numpy(dtype=float)
     xi, yi = np.unique(x, return_inverse=True)[1], np.unique(y, return_inverse=True)[1]
     # concordant minus discordant with a Fenwick tree over y, x in order

@@ -528,7 +528,11 @@ class Program:
         if "cntlout" in o:
             self.save(o["cntlout"], cat.control_table(self.spark))
         if "cntlin" in o:
-            cat.load_control(self.input(o["cntlin"]).limit(100_000).collect())
+            most = 100_000
+            rows = self.input(o["cntlin"]).limit(most + 1).collect()
+            if len(rows) > most:
+                raise ValueError(f"CNTLIN takes at most {most} rows")
+            cat.load_control(rows)
 
     # plots: the data series, in results
     def proc_sgplot(self, o, st, df) -> None:

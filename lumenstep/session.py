@@ -194,8 +194,10 @@ class Session:
         self.symbols[name.upper()] = "" if row is None or row[0] is None else row[0]
 
     def into(self, df: DataFrame, names: list[str], separator: str | None = None, most: int = 65_536) -> None:
-        """SELECT INTO: the first row's values, or all of a column joined (a bounded number)."""
-        rows = df.limit(most if separator is not None else 1).collect()
+        """SELECT INTO: the first row's values, or all of a column joined (a bounded number, checked)."""
+        rows = df.limit(most + 1 if separator is not None else 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"SELECT INTO joins at most {most} values")
         for k, n in enumerate(names):
             texts = ["" if r[k] is None else str(r[k]) for r in rows]
             self.symbols[n.upper()] = separator.join(texts) if separator is not None else (texts[0] if texts else "")

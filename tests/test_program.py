@@ -118,3 +118,15 @@ def test_more_procedures(p):
     assert "pc2" in p.session.libraries["work"].list() and "fc" not in p.session.libraries["work"].list()
     assert p.session.table("tb").count() == 3 and {r["sex"]: r["age"] for r in p.session.table("rp").collect()}["F"] == 13
     assert p.results["CompareDifferences"].count() == 0 and abs(p.results["Fit"]["beta"][1] - 1) < 0.1
+
+
+def test_limits_raise(p, spark):
+    control = spark.range(100_001).selectExpr("'BIG' AS FMTNAME", "cast(id AS string) AS START", "cast(id AS string) AS END", "'x' AS LABEL", "'N' AS TYPE")
+    p.session.save("ctl", control)
+    with pytest.raises(ValueError, match="CNTLIN"):
+        p.run("proc format cntlin=ctl; run;")
+    p.session.into(spark.range(3), ["some"], ",", most=3)
+    assert p.session.symbols["SOME"].count(",") == 2
+    with pytest.raises(ValueError, match="INTO"):
+        p.session.into(spark.range(4), ["some"], ",", most=3)
+    p.session.into(spark.range(4), ["first"], most=3)

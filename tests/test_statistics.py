@@ -142,3 +142,22 @@ def test_means_edges(spark):
     assert I.exact_wilcoxon(spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 3.0), ("b", 4.0)], "g string, v double"), "v", "g").first()["P_TWO"] == pytest.approx(1 / 3)
     w = I.shapiro_wilk(spark.createDataFrame([(float(v),) for v in (148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236)], "v double"), "v").first()
     assert abs(w["W"] - 0.79) < 0.01 and abs(w["P"] - 0.0067) < 0.002
+
+
+def brute_kendall(x, y):
+    pairs = [(np.sign(x[i] - x[j]), np.sign(y[i] - y[j])) for i in range(len(x)) for j in range(i)]
+    return sum(a * b for a, b in pairs) / math.sqrt(sum(abs(a) for a, _ in pairs) * sum(abs(b) for _, b in pairs))
+
+
+def test_kendall_against_pairs(spark):
+    rng = np.random.default_rng(4)
+    x, y = rng.integers(0, 12, 150), rng.integers(0, 150, 150)
+    df = spark.createDataFrame([(int(a), float(a * 3 + b)) for a, b in zip(x, y, strict=True)], "a int, b double")
+    assert math.isclose(I.kendall(df, "a", "b")[0], brute_kendall(x, x * 3.0 + y), rel_tol=1e-12)
+
+
+def test_kendall_limit_raises(spark):
+    df = spark.range(10).select(F.col("id").alias("a"), (-F.col("id")).alias("b"))
+    assert I.kendall(df.where("a < 9"), "a", "b", most_levels=3)[0] == -1
+    with pytest.raises(ValueError):
+        I.kendall(df, "a", "b", most_levels=3)
