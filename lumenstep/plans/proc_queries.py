@@ -168,6 +168,11 @@ def _kendall(spark, d):
     return rounded(I.corr(t(spark, d, "part").where("p_partkey < 150"), ["p_size", "p_retailprice"], method="KENDALL").select("VAR", "WITH", "N", "R"), 8)
 
 
+@query("proc_corr_kendall_all")
+def _kendall_all(spark, d):
+    return rounded(I.corr(t(spark, d, "part"), ["p_size", "p_retailprice"], method="KENDALL").select("VAR", "WITH", "N", "R"), 8)
+
+
 @query("proc_corr_partial", """WITH c AS (SELECT corr(l_quantity, l_extendedprice) AS xy, corr(l_quantity, l_discount) AS xz, corr(l_extendedprice, l_discount) AS yz FROM lineitem) SELECT 'l_quantity' AS VAR, 'l_extendedprice' AS "WITH", round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 8) AS R FROM c""")
 def _partial(spark, d):
     return rounded(I.corr(t(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"], partial=["l_discount"]).select("VAR", "WITH", "R"), 8)

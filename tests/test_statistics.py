@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from harness import DATA
 from pyspark.sql import functions as F
 
 from lumenstep.operators import inference as I
@@ -12,6 +13,7 @@ from lumenstep.operators import multivariate as M
 from lumenstep.operators import regression as R
 from lumenstep.operators import running
 from lumenstep.operators import summary as S
+from lumenstep.plans import catalog, proc_queries  # noqa: F401
 from lumenstep.stats import dists
 
 
@@ -161,3 +163,9 @@ def test_kendall_limit_raises(spark):
     assert I.kendall(df.where("a < 9"), "a", "b", most_levels=3)[0] == -1
     with pytest.raises(ValueError):
         I.kendall(df, "a", "b", most_levels=3)
+
+
+def test_kendall_query_takes_the_table(spark):
+    part = spark.read.parquet(f"{DATA}/part.parquet").toPandas()
+    got = catalog.QUERIES["proc_corr_kendall_all"](spark, DATA).first()
+    assert got["N"] == len(part) and math.isclose(got["R"], brute_kendall(part["p_size"].to_numpy(), part["p_retailprice"].to_numpy()), abs_tol=1e-8)
