@@ -291,6 +291,11 @@ def _distance(spark, d):
     return rounded(M.distance(t(spark, d, "embeddings").where("vec_id < 40"), "vec_id", "embedding"), 5)
 
 
+@query("proc_distance_all", "SELECT a.vec_id AS ID1, b.vec_id AS ID2, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS DISTANCE FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id")
+def _distance_all(spark, d):
+    return rounded(M.distance(t(spark, d, "embeddings"), "vec_id", "embedding", most_rows=200_000), 5)
+
+
 @query("proc_cluster_ward")
 def _cluster(spark, d):
     rows = M.cluster(t(spark, d, "supplier"), ["s_acctbal"], "s_suppkey", "WARD")

@@ -169,3 +169,8 @@ def test_kendall_query_takes_the_table(spark):
     part = spark.read.parquet(f"{DATA}/part.parquet").toPandas()
     got = catalog.QUERIES["proc_corr_kendall_all"](spark, DATA).first()
     assert got["N"] == len(part) and math.isclose(got["R"], brute_kendall(part["p_size"].to_numpy(), part["p_retailprice"].to_numpy()), abs_tol=1e-8)
+
+
+def test_distance_query_takes_all_pairs(spark):
+    n = spark.read.parquet(f"{DATA}/embeddings.parquet").count()
+    assert catalog.QUERIES["proc_distance_all"](spark, DATA).count() == n * (n - 1) // 2
