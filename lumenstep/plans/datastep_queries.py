@@ -85,6 +85,17 @@ def _merge(spark, d):
     return D.match_merge([a, b], ["k"], [["x"], ["y"]], ["in_a", "in_b"])
 
 
+@query("ds_merge_in_all", """WITH a AS (SELECT o_custkey AS k, o_orderkey AS x, o_totalprice AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+  b AS (SELECT c_custkey + 10 AS k, c_name AS y, c_acctbal AS v, 1 AS rn, 1 AS n FROM customer),
+  g AS (SELECT coalesce(p.k, q.k) AS k, p.n AS na, q.n AS nb, unnest(range(1, greatest(coalesce(p.n, 0), coalesce(q.n, 0)) + 1)) AS rn FROM (SELECT DISTINCT k, n FROM a) p FULL JOIN (SELECT DISTINCT k, n FROM b) q ON p.k = q.k)
+  SELECT g.k, a.x, CASE WHEN g.rn <= g.nb THEN b.v WHEN g.rn <= g.na THEN a.v END AS v, b.y, (g.na IS NOT NULL)::INT AS in_a, (g.nb IS NOT NULL)::INT AS in_b
+  FROM g LEFT JOIN a ON a.k = g.k AND a.rn = least(g.rn, g.na) LEFT JOIN b ON b.k = g.k AND b.rn = least(g.rn, g.nb)""")
+def _merge_all(spark, d):
+    a = t(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("x"), F.col("o_totalprice").alias("v"))
+    b = t(spark, d, "customer").select((F.col("c_custkey") + 10).alias("k"), F.col("c_acctbal").alias("v"), F.col("c_name").alias("y"))
+    return D.match_merge([a, b], ["k"], [["x"], ["y"]], ["in_a", "in_b"])
+
+
 @query("ds_merge_many_to_many", """WITH a AS (SELECT c_nationkey AS k, c_custkey AS x, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS rn, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer),
   b AS (SELECT s_nationkey AS k, s_suppkey AS y, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS rn, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier),
   g AS (SELECT coalesce(p.k, q.k) AS k, p.n AS na, q.n AS nb, unnest(range(1, greatest(coalesce(p.n, 0), coalesce(q.n, 0)) + 1)) AS rn FROM (SELECT DISTINCT k, n FROM a) p FULL JOIN (SELECT DISTINCT k, n FROM b) q ON p.k = q.k)
@@ -188,6 +199,12 @@ def _savage(spark, d):
     return S.rank(c, ["c_acctbal"], method="SAVAGE", names=["s"]).select("c_custkey", F.round("s", 8).alias("s"))
 
 
+@query("proc_rank_savage_all", """WITH c AS (SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS j, count(*) OVER () AS n FROM customer), h AS (SELECT *, sum(1.0::DOUBLE / (n - j + 1)) OVER (ORDER BY j) - 1 AS s FROM c)
+  SELECT c_custkey, round(avg(s) OVER (PARTITION BY c_acctbal), 6) AS s FROM h""")
+def _savage_all(spark, d):
+    return S.rank(t(spark, d, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal"], method="SAVAGE", names=["s"]).select("c_custkey", F.round("s", 6).alias("s"))
+
+
 @query("proc_rank_blom")
 def _blom(spark, d):
     return S.rank(t(spark, d, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal"], method="BLOM", names=["z"]).select("c_custkey", F.round("z", 8).alias("z"))

@@ -64,6 +64,12 @@ def _search(spark, d):
     return x.select("doc_id", call("COUNT", "text", "the").alias("c"), call("FIND", "text", "th", 5).alias("f"), call("FINDC", "text", "aeiou").alias("fc"), call("VERIFY", "text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("v"))
 
 
+@query("fn_char_search_all", """SELECT doc_id, (len(text) - len(replace(text, 'the', ''))) // 3 AS c, instr(substr(text, 5), 'th') + CASE WHEN instr(substr(text, 5), 'th') > 0 THEN 4 ELSE 0 END AS f,
+  length(regexp_extract(text, '^[^aeiou]*[aeiou]')) AS fc, CASE WHEN regexp_matches(text, '[^A-Z]') THEN length(regexp_extract(text, '^[A-Z]*')) + 1 ELSE 0 END AS v FROM documents""", wide="fc f v c")
+def _search_all(spark, d):
+    return t(spark, d, "documents").select("doc_id", call("COUNT", "text", "the").alias("c"), call("FIND", "text", "th", 5).alias("f"), call("FINDC", "text", "aeiou").alias("fc"), call("VERIFY", "text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("v"))
+
+
 @query("fn_date", """SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, dayofweek(o_orderdate) + 1 AS wd, dayofyear(o_orderdate) AS j, (o_orderdate::DATE - DATE '1960-01-01')::INT AS num,
   datediff('month', o_orderdate, DATE '1999-05-20') AS ckm, datediff('year', o_orderdate, DATE '1999-05-20') AS cky, datediff('quarter', o_orderdate, DATE '1999-05-20') AS ckq, date_trunc('month', o_orderdate + INTERVAL 2 MONTH)::DATE AS nxm,
   (date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY)::DATE AS nxq, (o_orderdate + INTERVAL 1 YEAR)::DATE AS nxs FROM orders""", wide="m j ckm wd d cky y")
@@ -132,6 +138,11 @@ def _words(spark, d):
     return t(spark, d, "nation").where("n_nationkey in (0, 4, 9, 14)").select("n_nationkey", formats.put(F.col("n_nationkey"), "ROMAN.").alias("r"))
 
 
+@query("fmt_words_all", "SELECT n_nationkey, CASE WHEN n_nationkey = 0 THEN '.' ELSE ['', 'X', 'XX'][n_nationkey // 10 + 1] || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][n_nationkey % 10 + 1] END AS r FROM nation")
+def _words_all(spark, d):
+    return t(spark, d, "nation").select("n_nationkey", formats.put(F.col("n_nationkey"), "ROMAN.").alias("r"))
+
+
 @query("fmt_put_user", "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END AS size FROM part")
 def _user(spark, d):
     c = formats.Catalog()

@@ -136,6 +136,11 @@ def _histogram(spark, d):
     return rounded(S.histogram(t(spark, d, "part").where("p_size < 50"), "p_size", 0.0, 10.0, 5))
 
 
+@query("proc_univariate_histogram_all", "SELECT floor(p_size / 10.0) * 10 + 5.0 AS MIDPOINT, count(*) AS COUNT, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS PERCENT FROM part GROUP BY 1")
+def _histogram_all(spark, d):
+    return rounded(S.histogram(t(spark, d, "part"), "p_size", 0.0, 10.0, 6))
+
+
 @query("proc_univariate_weighted_quantile", """SELECT min(x) AS MEDIAN FROM (SELECT l_quantity AS x, sum(l_tax + 0.01) OVER (ORDER BY l_quantity) AS cum, sum(l_tax + 0.01) OVER () AS total FROM lineitem) WHERE cum >= total / 2""")
 def _wq(spark, d):
     return S.weighted_quantiles(t(spark, d, "lineitem").withColumn("w", F.col("l_tax") + 0.01), "l_quantity", "w", {"MEDIAN": 0.5})

@@ -112,6 +112,11 @@ def _sounds(spark, d):
     return run_sql(spark, {"nation": t(spark, d, "nation").where("n_name = 'NATION_3'")}, "select n_name from nation where n_name sounds like 'NADION'")
 
 
+@query("sql_sounds_like_all")
+def _sounds_all(spark, d):
+    return run_sql(spark, {"nation": t(spark, d, "nation"), "region": t(spark, d, "region")}, "select n_name as name from nation where n_name sounds like 'NADION' union all select r_name from region where r_name sounds like 'AMERIKA'")
+
+
 @query("sql_update", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer")
 def _update(spark, d):
     return R.update_set(t(spark, d, "customer").select("c_custkey", "c_acctbal"), {"c_acctbal": F.lit(0.0)}, F.col("c_acctbal") < 0)
