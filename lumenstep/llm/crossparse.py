@@ -9,7 +9,7 @@ Texts are read as runs of letters, lower-cased. The parse restarts at words (wit
 word is parsed once for all its occurrences; all distinct words of a slice walk the automaton in lockstep. Whole texts
 are parsed.
 
-Sample (a documented bound): per language up to `sample_docs` distinct labelled texts of at most `doc_chars` characters,
+Sample (a documented bound): per language up to `sample_docs` distinct labelled texts, each with its first `doc_chars` characters,
 those with the smallest hash, cut to `sample_chars` characters together; all languages share `total_chars`. Everything
 that is learned comes from rows whose crc32(id as text) mod 3 is not 1. No shuffle of texts; the driver gets the sample.
 
@@ -179,8 +179,9 @@ def parser(samples: tuple[tuple[str, str], ...]) -> Parser:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, doc_chars: int = DOC_CHARS, sample_chars: int = SAMPLE_CHARS, total_chars: int = TOTAL_CHARS) -> tuple[tuple[str, str], ...]:
     """((language, sample text), ...) from the labelled rows outside the held-out fold."""
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"))
-    rows = rows.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.length("text").between(1, doc_chars))
-    rows = rows.select("lang", "text", F.xxhash64("text").alias("h"))
+    rows = rows.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") >= 1))
+    # a long text gives its first doc_chars characters, so a language of long texts alone is learned too
+    rows = rows.select("lang", F.substring("text", 1, doc_chars).alias("text"), F.xxhash64("text").alias("h"))
     # the smallest of each language, first within slices of it, so no task sees a language's rows of all partitions
     keys = rows.select("lang", "h").distinct()
     for part in (Window.partitionBy("lang", F.pmod("h", F.lit(SLICES))), Window.partitionBy("lang")):

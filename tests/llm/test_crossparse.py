@@ -54,3 +54,11 @@ def test_held_out_rows_teach_nothing(spark):
     rng = random.Random(8)
     data = [(k, sentence(rng, "en", 30), "en" if zlib.crc32(str(k).encode()) % 3 != 1 else "secret", "s", 1, "k", 1, 0.1) for k in range(60)]
     assert [lang for lang, _ in crossparse.learn(frame(spark, data))] == ["en"]
+
+
+def test_language_of_long_texts_is_learned(spark):
+    long = "der hund und die katze gehen heute nicht in den garten " * 8
+    rows = [(k, long + str(k), "de") for k in range(20)] + [(100 + k, f"the dog and the cat {k}", "en") for k in range(20)]
+    samples = crossparse.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), doc_chars=200)
+    assert [name for name, _ in samples] == ["de", "en"]
+    assert all(x == long[:200] for x in dict(samples)["de"].split("\n"))
