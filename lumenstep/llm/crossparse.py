@@ -5,9 +5,9 @@ longest phrases that occur in the sample (a character the sample lacks is a phra
 characters and a sample of `m` characters the entropy estimate is z * log2(m) / n, and the language with the smallest
 one wins (ties: the first by name). The score is 1 - best / second, 1 if only one language is known.
 
-Texts are read as runs of letters, lower-cased. The parse restarts at words (with a space before them) and at every 64th character of a longer one, so each distinct
-word is parsed once for all its occurrences; all distinct words of a slice walk the automaton in lockstep. Whole texts
-are parsed.
+Texts are read as runs of letters, lower-cased, each after one space. The parse runs over the whole text, so a phrase
+may cover many words; it starts anew only after a phrase has ended. All texts of a slice walk the automata of all
+languages in lockstep, longest first; once fewer than `LEAST_ALIVE` texts are left, the rest of each is walked by itself.
 
 Sample (a documented bound): per language up to `sample_docs` distinct labelled texts, each with its first `doc_chars` characters,
 those with the smallest hash, cut to `sample_chars` characters together; all languages share `total_chars`. Everything
@@ -38,8 +38,7 @@ TOTAL_CHARS = 320_000
 SLICES = 64
 FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
-WORDS_KEPT = 150_000
-_PIECE = 64
+LEAST_ALIVE = 48
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -83,80 +82,83 @@ def automaton(text: str) -> tuple[dict[str, int], np.ndarray]:
     return chars, table
 
 
-def words_of(text: str) -> list[str]:
-    """The runs of letters, lower-cased: digits, marks and white space don't tell languages apart."""
-    return _WORD.findall(text.lower())
+def normal(text: str) -> str:
+    """The runs of letters, lower-cased, a space before each: digits, marks and white space don't tell languages apart."""
+    words = _WORD.findall(text.lower())
+    return " " + " ".join(words) if words else ""
 
 
 class Parser:
-    """Phrase counts of words for every language."""
+    """Phrase counts of texts for every language.
+
+    The transitions of all languages are one flat table: a state is the place of its row, -1 means no transition."""
 
     def __init__(self, samples: dict[str, str]):
         self.names = sorted(samples)
         self.bits = np.array([math.log2(max(2, len(samples[x]))) for x in self.names])
-        self.parts = [automaton(" " + " ".join(words_of(samples[x]))) for x in self.names]
-        self.known: dict[str, int] = {}
-        self.counts = np.zeros((0, len(self.names)), dtype=np.int64)
-
-    def phrases(self, words: list[str]) -> np.ndarray:
-        """(words, languages) phrase counts; a word is parsed with one space before it."""
-        pieces, owner = [], []
-        for k, w in enumerate(words):
-            w = " " + w
-            for a in range(0, len(w), _PIECE):
-                pieces.append(w[a : a + _PIECE])
-                owner.append(k)
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self.codes = np.zeros((0x110000, len(self.names)), dtype=np.int16)  # columns of a character, one a language
+        roots, tables, base = [], [], 0
+        for k, name in enumerate(self.names):
+            chars, table = automaton(normal(samples[name]))
+            width = table.shape[1]
+            tables.append(np.where(table > 0, base + table * width, -1).astype(np.int32).ravel())
+            self.codes[[ord(c) for c in chars], k] = list(chars.values())
+            roots.append(base)
+            base += table.size
+        self.roots = np.array(roots, dtype=np.int32)
+        self.flat = np.concatenate(tables) if tables else np.zeros(0, dtype=np.int32)
+
+    def phrases(self, texts: list[str]) -> np.ndarray:
+        """(texts, languages) phrase counts of normal texts."""
+        languages, flat = len(self.names), self.flat
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
         order = np.argsort(-size, kind="stable")
-        codes = np.frombuffer("".join(pieces).encode("utf-32-le"), dtype=np.uint32)
         starts = (np.cumsum(size) - size)[order]
+        codes = self.codes[np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)]
         alive = np.searchsorted(-size[order], -np.arange(size.max(initial=0)), side="left")
-        uniq, code = np.unique(codes, return_inverse=True)
-        out = np.zeros((len(words), len(self.names)), dtype=np.int64)
-        for k, (chars, table) in enumerate(self.parts):
-            code_of = np.array([chars.get(chr(c), 0) for c in uniq], dtype=np.int64)[code]
-            width, flat = table.shape[1], table.ravel()
-            state = np.zeros(len(pieces), dtype=np.int64)
-            count = np.zeros(len(pieces), dtype=np.int64)
-            for t, n in enumerate(alive.tolist()):
-                c = code_of[starts[:n] + t]
-                s = state[:n]
-                to = flat[s * width + c]
-                fail = np.flatnonzero(to == 0)
-                again = flat[c[fail]]
-                count[fail] += (s[fail] > 0).astype(np.int64) + (again == 0)
-                to[fail] = again
-                state[:n] = to
-            count += state > 0
-            np.add.at(out[:, k], np.asarray(owner)[order], count)
+        steps = int(np.searchsorted(-alive, -LEAST_ALIVE, side="right"))
+        # one row after the other: the languages of a text
+        root = np.tile(self.roots, len(texts))
+        state, count = root.copy(), np.zeros(len(root), dtype=np.int64)
+        for t, n in enumerate(alive[:steps].tolist()):
+            c = codes[starts[:n] + t].ravel()
+            s = state[: n * languages]
+            to = flat[s + c]
+            fail = np.flatnonzero(to < 0)
+            first = root[fail]
+            again = flat[first + c[fail]]
+            unknown = again < 0
+            count[fail] += (s[fail] != first) + unknown.astype(np.int8)
+            to[fail] = np.where(unknown, first, again)
+            state[: n * languages] = to
+        view = memoryview(flat)
+        for k in range(int(alive[steps]) if steps < len(alive) else 0):
+            rest = codes[starts[k] + steps : starts[k] + size[order[k]]]
+            for lang, first in enumerate(self.roots.tolist()):
+                now, ended = int(state[k * languages + lang]), 0
+                for c in rest[:, lang].tolist():
+                    to = view[now + c]
+                    if to < 0:
+                        ended += now != first
+                        to = view[first + c]
+                        if to < 0:
+                            ended += 1
+                            to = first
+                    now = to
+                state[k * languages + lang] = now
+                count[k * languages + lang] += ended
+        count += state != root
+        out = np.empty((len(texts), languages), dtype=np.int64)
+        out[order] = count.reshape(-1, languages)
         return out
 
     def judge(self, texts: list[str]) -> list[tuple[str, float]]:
-        known, rows = self.known, []
-        if len(known) > WORDS_KEPT:
-            known.clear()
-            self.counts = self.counts[:0]
-        fresh = len(known)
-        sizes, chars = [], []
-        for t in texts:
-            words = words_of(t)
-            sizes.append(len(words))
-            chars.append(sum(map(len, words)) + len(words))
-            rows.extend([known.setdefault(w, len(known)) for w in words])
-        if len(known) > fresh:
-            new = list(known)[fresh:]
-            self.counts = np.concatenate([self.counts, *(self.phrases(new[k : k + 50_000]) for k in range(0, len(new), 50_000))])
-        sums = np.zeros((len(texts) + 1, len(self.names)), dtype=np.int64)
-        ends = np.cumsum(sizes)
-        ids = np.asarray(rows, dtype=np.int64)
-        total = np.zeros((len(ids) + 1, len(self.names)), dtype=np.int64)
-        np.cumsum(self.counts[ids], axis=0, out=total[1:])
-        sums = total[ends] - total[ends - np.asarray(sizes, dtype=np.int64)]
-        rate = sums * self.bits / np.maximum(1, np.asarray(chars))[:, None]
+        rows = [normal(t) for t in texts]
+        rate = self.phrases(rows) * self.bits / np.maximum(1, np.fromiter(map(len, rows), np.int64, len(rows)))[:, None]
         best = rate.argmin(axis=1)
         out = []
-        for k in range(len(texts)):
-            if sizes[k] == 0:
+        for k, row in enumerate(rows):
+            if not row:
                 out.append((UNKNOWN, 0.0))
                 continue
             low = rate[k, best[k]]

@@ -6,28 +6,31 @@ from corpus import SCHEMA, WORDS, frame, rows, sentence
 from lumenstep.llm import crossparse
 
 
-def phrases(word, sample):
-    word, n = " " + word, 0
-    for a in range(0, len(word), 64):
-        x, i = word[a : a + 64], 0
-        while i < len(x):
-            k = 0
-            while i + k < len(x) and x[i : i + k + 1] in sample:
-                k += 1
-            i += max(1, k)
-            n += 1
+def phrases(text, sample):
+    """A plain greedy parse of the whole text: the longest match that occurs in the sample, again and again."""
+    n = i = 0
+    while i < len(text):
+        k = 0
+        while i + k < len(text) and text[i : i + k + 1] in sample:
+            k += 1
+        i += max(1, k)
+        n += 1
     return n
 
 
-def test_phrases_against_brute_force():
+def test_phrases_of_whole_texts_against_brute_force(monkeypatch):
     rng = random.Random(2)
     samples = {lang: sentence(rng, lang, 200) for lang in WORDS}
     own = crossparse.Parser(samples)
-    words = [rng.choice(WORDS[rng.choice(list(WORDS))]) for _ in range(50)] + ["ab" * 60, "漢字", "zzz"]
-    got = own.phrases(words)
-    for k, lang in enumerate(own.names):
-        s = " " + " ".join(crossparse.words_of(samples[lang]))
-        assert [phrases(w, s) for w in words] == got[:, k].tolist()
+    texts = [sentence(rng, rng.choice(list(WORDS)), rng.randint(0, 60)) for _ in range(40)]
+    texts += ["ab" * 60, "漢字 漢", "zzz", "", samples["en"], samples["de"][:700] + samples["fr"], sentence(rng, "en", 1500)]
+    rows = [crossparse.normal(t) for t in texts]
+    want = [[phrases(t, crossparse.normal(samples[x])) for x in own.names] for t in rows]
+    for least in (1, 16, 1000):  # in lockstep only, both ways, one by one only
+        monkeypatch.setattr(crossparse, "LEAST_ALIVE", least)
+        assert own.phrases(rows).tolist() == want
+    en = own.names.index("en")
+    assert own.phrases([crossparse.normal(samples["en"])])[0, en] == 1  # one phrase covers many words
 
 
 def test_held_out_accuracy(spark):
