@@ -12,7 +12,8 @@ is the other fingerprint's step up). Candidates of a cell are verified by exact
 only true links leave it. Links are made between distinct fingerprints only; copies never meet.
 
 Components: alternating large-star and small-star rounds on the links, each round checkpointed in the shared folder,
-until the star forest is stable.
+until the star forest is stable. No join here broadcasts a side: links and fingerprints grow with the input, so the
+driver holds nothing of them at any size.
 
 Defined cases: null ids are never a component's id (a component of null ids only has a null id); repeated rows keep
 their rows; extra columns are ignored; an empty table gives an empty result.
@@ -101,7 +102,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     probes = tagged.select(F.col("fp").alias("other"), F.col("key").alias("at"), F.explode(near).alias("step"))
     probes = probes.select("other", (F.col("at") + F.col("step")).alias("near_key"))
     pairs = tagged.select("fp", "key").join(
-        probes,
+        probes.hint("merge"),
         (F.col("key") == F.col("near_key"))
         & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= max_bits)
         & (F.col("fp") != F.col("other")),
@@ -121,9 +122,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        small = large.join(low.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         now = common.cut(small)
         after = _mark(now)
         if after == mark:
@@ -145,10 +146,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = common.written(fingerprints(docs, id_col, text_col), "simhash")
     known = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
     roots = components(links(known.select("fp"), max_bits))
-    classed = known.join(roots, known["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    classed = known.join(roots.hint("merge"), known["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     ids = classed.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_print = classed.join(ids, "root").select(F.col("fp").alias("known_fp"), "component_id")
-    return prints.join(by_print, prints["fp"] == by_print["known_fp"]).select("doc_id", "fp", "component_id")
+    by_print = classed.join(ids.hint("merge"), "root").select(F.col("fp").alias("known_fp"), "component_id")
+    return prints.join(by_print.hint("merge"), prints["fp"] == by_print["known_fp"]).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
@@ -157,4 +158,4 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[docs[c] for c in names]).alias("_all"))
     ids = rows.select(F.struct(F.col("_all").getField(id_col).alias("id"), F.col("_row").alias("row")).alias("doc_id"), F.col("_all").getField(text_col).alias("text"))
     found = near_duplicates(ids, max_bits=max_bits).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.row").alias("_row"))
-    return rows.join(found, "_row", "left_semi").select(*[F.col("_all").getField(c).alias(c) for c in names])
+    return rows.join(found.hint("merge"), "_row", "left_semi").select(*[F.col("_all").getField(c).alias(c) for c in names])
