@@ -8,9 +8,11 @@ the host graph (absolute links of the pages' HTML, without links of a host to it
 * distrust: the same along the reversed links, restarting at hosts with blocked pages.
 
 Restart weight is a host's share of the allowed (blocked) pages, each side sums to one, mass at a host without links
-leaves the walk. Both run in one frame (kind, host, score): `rounds` power steps of one join and one aggregation each,
+leaves the walk. Both run in one frame (kind, host, score): power steps of one join and one aggregation each,
 cut by a checkpoint every few steps. A host is blocked if its distrust makes up more than `threshold` of its distrust
-plus trust; a host that neither walk reaches is allowed.
+plus trust; a host that neither walk reaches is allowed. The walk stops when a step moves less than `tolerance` of the
+mass; since step k moves at most damping ** k of it, that is after log(tolerance) / log(damping) steps at the latest.
+A link is an `<a` tag up to its first < or > with an href of any length.
 
 Skew: links are counted by (from, to) with partial sums before they are shuffled, so copies and a host with a third of
 all pages add one row for each distinct target and task; the last join is on the host, where AQE splits a hot host.
@@ -21,6 +23,7 @@ repeated pages count as often as they occur; an empty table gives an empty resul
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -37,9 +40,9 @@ RULES = (
     ("org/es/", "block"),
 )
 DAMPING = 0.85
-ROUNDS = 20
+TOLERANCE = 1e-6
 THRESHOLD = 0.5
-_LINK = r"""(?i)<a\s[^>]{0,2000}?href\s{0,20}=\s{0,20}["']?\s{0,20}(?:[a-z][a-z0-9+.-]{0,20}:)?//([^/?#"'\s<>]{1,300})"""
+_LINK = r"""(?i)<a\s(?:[^<>]*?[\s"'])??href\s*+=\s*+["']?\s*+(?:[a-z][a-z0-9+.-]*+:)?//([^/?#"'\s<>]++)"""
 
 
 def _lower(c: Column) -> Column:
@@ -75,8 +78,8 @@ def host_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return found.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int) -> DataFrame:
-    """(kind, host, score) after `rounds` steps. edges: (kind, src, dst, n); seeds: (kind, host, n)."""
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float) -> DataFrame:
+    """(kind, host, score) of the settled walks. edges: (kind, src, dst, n); seeds: (kind, host, n)."""
     total = edges.groupBy("kind", "src").agg(F.sum("n").alias("out"))
     walk = edges.join(total, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("n") / F.col("out")).alias("p"))
     walk = common.cut(walk)
@@ -85,12 +88,17 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int) -
     restart = start.select("kind", "host", (F.col("score") * (1 - damping)).alias("score"))
     if walk.isEmpty():  # without links every walk ends where it started
         return restart
-    now = start
-    for k in range(rounds):
+    now = before = start
+    steps = math.ceil(math.log(tolerance) / math.log(damping))
+    for k in range(steps):
         moved = now.join(walk, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("p") * damping).alias("score"))
         now = restart.unionByName(moved).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if k % 4 == 3 and k + 1 < rounds:
+        if k % 4 == 3:
             now = common.cut(now)
+            change = now.unionByName(before.select("kind", "host", (-F.col("score")).alias("score"))).groupBy("kind", "host").agg(F.abs(F.sum("score")).alias("d"))
+            if (change.agg(F.sum("d")).first()[0] or 0.0) < tolerance:
+                break
+            before = now
     return now
 
 
@@ -98,7 +106,7 @@ def judge(
     pages: DataFrame,
     rules: Sequence[tuple[str, str]] = RULES,
     damping: float = DAMPING,
-    rounds: int = ROUNDS,
+    tolerance: float = TOLERANCE,
     threshold: float = THRESHOLD,
     id_col: str = "page_id",
     url: str = "url",
@@ -115,7 +123,7 @@ def judge(
     edges = links.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(
         links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     )
-    scores = propagate(edges, seeds, damping, rounds)
+    scores = propagate(edges, seeds, damping, tolerance)
     part = {k: F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)) for k in ("trust", "distrust")}
     hosts = common.cut(scores.groupBy(F.col("host").alias("scored")).agg(*(v.alias(k) for k, v in part.items())))
     both = ruled.join(hosts, F.col("host") == F.col("scored"), "left")
