@@ -7,17 +7,21 @@ count[i] = count[i - len(token)] + its cost. Fitting of a pair is merged once an
 vocabulary cost their UTF-8 bytes (byte fallback).
 
 No token has a space mark after another character, so a text is a row of chunks (space marks, then other characters),
-whose counts add up: a chunk is walked once and remembered, and chunks in sorted order continue from the prefix they
-share with the one before. `count`, `prefix_counts` and `longest_prefix` answer from these tables; nothing is encoded
-again for a truncation or budget question.
-
-Memory: remembered chunks and pairs are dropped when they reach a fixed number; results don't depend on it. No shuffle.
-Defined cases: null is empty, 0 bytes and 0 tokens; repeated rows count alike; extra columns are ignored.
+whose counts add up. A chunk is walked once; the count at every one of its prefixes is stored, so the count at a prefix
+of a text is the sum of the chunks before it plus one stored value. Chunks in sorted order continue from the prefix they
+share with the one before. `count`, `prefix_counts` and `longest_prefix` only read these tables. `prefix_table` stores
+the counts at every prefix of every text as a column, and `truncate` and `fits` answer budgets from that column alone.
+
+Memory: stored chunks are dropped when their tables reach a fixed number of bytes, pairs at a fixed number (a pair is two
+vocabulary tokens, so of bounded length); results don't depend on it. No shuffle.
+Defined cases: null is empty, 0 bytes and 0 tokens, one prefix; very long texts are counted whole; repeated rows count
+alike; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +33,7 @@ from . import common
 
 SPACE_MARK = "▁"
 LIMIT = 4096
-CHUNKS_KEPT = 700_000
+TABLE_BYTES = 200_000_000
 PAIRS_KEPT = 1_000_000
 _CHUNK = re.compile(f"{SPACE_MARK}+[^{SPACE_MARK}\n]*|\n[^{SPACE_MARK}\n]*|[^{SPACE_MARK}\n]+")
 
@@ -59,7 +63,9 @@ class PrefixCounter:
                 tails.setdefault(piece[-2:], set()).add(len(piece))
         self.tails = {k: tuple(sorted(v, reverse=True)) for k, v in tails.items()}
         self.fits: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, int] = {}
+        self.known: dict[str, int] = {}  # count of a chunk
+        self.tables: dict[str, bytes] = {}  # counts at its prefixes, as numbers of four bytes, or one where they are small
+        self.held = 0
         self.word, self.last, self.counts = "", [""], [0]
 
     def merge(self, text: str) -> list[str]:
@@ -120,11 +126,21 @@ class PrefixCounter:
 
     def learn(self, chunks: set[str]) -> None:
         """Walk the chunks that aren't known, in order."""
-        known = self.known
-        if len(known) + len(chunks) > CHUNKS_KEPT:
+        known, tables = self.known, self.tables
+        if self.held > TABLE_BYTES:
             known.clear()
-        for chunk in sorted(chunks.difference(known)):
-            known[chunk] = self.walk(chunk)[-1]
+            tables.clear()
+            self.held = 0
+        for chunk in sorted(chunks if not known else chunks.difference(known)):
+            counts = self.walk(chunk)
+            known[chunk] = counts[-1]
+            table = tables[chunk] = bytes(counts) if counts[-1] < 256 else array("I", counts).tobytes()
+            self.held += len(table) + 4 * len(chunk) + 200  # with what the entries themselves take
+
+    def stored(self, chunk: str) -> memoryview:
+        """The stored counts of all prefixes of a learned chunk."""
+        table = memoryview(self.tables[chunk])
+        return table if len(table) == len(chunk) + 1 else table.cast("I")
 
     def count_all(self, texts: list[str]) -> list[int]:
         rows = [self.chunks(t) for t in texts]
@@ -137,9 +153,11 @@ class PrefixCounter:
 
     def prefix_counts(self, text: str) -> list[int]:
         """counts[i] is the exact number of tokens of text[:i]."""
+        row = self.chunks(text)
+        self.learn(set(row))
         out, base = [0], 0
-        for k, chunk in enumerate(self.chunks(text)):
-            counts = self.walk(chunk)
+        for k, chunk in enumerate(row):
+            counts = self.stored(chunk).tolist()
             out += [base + c for c in counts[1 + (k == 0) :]]
             base += counts[-1]
         return out
@@ -160,7 +178,7 @@ class PrefixCounter:
         for k in range(len(row) - 1, -1, -1):
             base, at = starts[k]
             if base < budget:
-                counts = self.walk(row[k])
+                counts = self.stored(row[k])
                 for i in range(len(row[k]), 0, -1):
                     if base + counts[i] <= budget:
                         return at + i - 1  # without the dummy prefix
@@ -201,3 +219,31 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = LIMIT, slice_byt
             yield pa.RecordBatch.from_arrays(cols, schema.fieldNames())
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(common.tidied(run), schema)
+
+
+def prefix_table(docs: DataFrame, model_path: str, slice_bytes: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, prefix_tokens): element k (from 0) of prefix_tokens is the exact token count of the text's first k
+    characters. To be written once; `truncate` and `fits` read it."""
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    schema = T.StructType([*base.schema.fields, T.StructField("prefix_tokens", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = counter(model_path)
+        for batch in common.slices(batches, slice_bytes):
+            tables = [own.prefix_counts(x.decode()) for x in common.texts(batch)]
+            cols = [common.column(batch, "doc_id"), common.column(batch, "text"), pa.array(tables, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, schema.fieldNames())
+
+    return base.mapInArrow(common.tidied(run), schema)
+
+
+def truncate(table: DataFrame, budget: int) -> DataFrame:
+    """(doc_id, text): each text cut to its longest prefix of at most `budget` tokens; nothing is encoded."""
+    allowed = F.array_max(F.transform("prefix_tokens", lambda n, k: F.when(n <= budget, k).otherwise(F.lit(0))))
+    return table.select("doc_id", F.expr("text").substr(F.lit(1), allowed).alias("text"))
+
+
+def fits(table: DataFrame, budget: int) -> DataFrame:
+    """(doc_id, n_tokens, fits): the whole text's count, and whether it is within the budget."""
+    total = F.element_at("prefix_tokens", -1)
+    return table.select("doc_id", total.cast("long").alias("n_tokens"), (total <= budget).alias("fits"))
