@@ -14,7 +14,9 @@ shingles in the passage (a shorter part: the whole part as one shingle). An item
 its first question mark or first line, else in the middle.
 
 Size: items are indexed in blocks of about `block_bytes` of text, each block is one pass over the documents with its
-items in the closure, so a task never holds more than a block. No shuffle, no collection of documents.
+items in the closure, so a task never holds more than a block. Document frequencies, the number of items, their mean and
+greatest length are counted once over all items, so scores and results don't depend on the blocks. No shuffle of
+documents, no collection of them.
 Defined cases: null or wordless documents and items match nothing; repeated rows match alike; equal items are all
 returned; empty tables give an empty result; extra columns are ignored.
 """
@@ -26,12 +28,14 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 
@@ -71,21 +75,30 @@ def shingles(words: list[bytes], n: int = SHINGLE) -> set[bytes]:
     return {b" ".join(words[k : k + n]) for k in range(max(1, len(words) - n + 1))}
 
 
+class Stats(NamedTuple):
+    """Of all items: their number, mean and greatest length in words, and (word, items that hold it)."""
+
+    items: int
+    mean: float
+    longest: int
+    df: tuple[tuple[bytes, int], ...]
+
+
 class Index:
-    """Inverted index of items [(id, text, answer or None)]."""
+    """Inverted index of items [(id, text, answer or None)]; stats: of all items, where these are a block of them."""
 
-    def __init__(self, items: list[tuple]):
+    def __init__(self, items: list[tuple], stats: Stats | None = None):
         parts = [parts_of(text, answer) for _, text, answer in items]
         kept = sorted((k for k, p in enumerate(parts) if p[0] or p[1]), key=lambda k: len(parts[k][0] + parts[k][1]))
         self.ids = [items[k][0] for k in kept]
         self.parts = [parts[k] for k in kept]
         words = [q + a for q, a in self.parts]
-        self.longest = max(map(len, words), default=0)
-        mean = sum(map(len, words)) / max(1, len(words))
-        df = Counter(w for ws in words for w in set(ws))
-        n = len(words)
-        idf = {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
-        self.term = {w: k for k, w in enumerate(sorted(df))}
+        if stats is None:
+            df = Counter(w for ws in words for w in set(ws))
+            stats = Stats(len(words), sum(map(len, words)) / max(1, len(words)), max(map(len, words), default=0), tuple(df.items()))
+        self.longest, mean, n = stats.longest, stats.mean, len(words)
+        idf = {w: math.log(1 + (stats.items - d + 0.5) / (d + 0.5)) for w, d in stats.df}
+        self.term = {w: k for k, w in enumerate(sorted(idf))}
         rows = defaultdict(list)
         for item, ws in enumerate(words):
             norm = K1 * (1 - B + B * len(ws) / mean)
@@ -217,34 +230,51 @@ class Index:
 _indexes: dict[tuple, Index] = {}
 
 
-def index_of(items: tuple) -> Index:
+def index_of(items: tuple, stats: Stats) -> Index:
     """The index of a block, built once a process; only the last one is kept."""
-    if items not in _indexes:
+    if (items, stats) not in _indexes:
         _indexes.clear()
-        _indexes[items] = Index(list(items))
-    return _indexes[items]
+        _indexes[items, stats] = Index(list(items), stats)
+    return _indexes[items, stats]
 
 
-def _blocks(items: DataFrame, block_bytes: int, item_col: str, item_text: str, answer_col: str | None) -> tuple[DataFrame, int]:
-    """(item_id, text, answer) and the number of blocks its size needs."""
+def _blocks(items: DataFrame, block_bytes: int, item_col: str, item_text: str, answer_col: str | None) -> Iterator[tuple[tuple, Stats]]:
+    """The blocks of items (item_id, text, answer), each with the statistics of all items for its words."""
     answer = F.col(answer_col) if answer_col else F.lit(None).cast("string")
     base = items.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text"), answer.alias("answer")).where(F.col("text").isNotNull())
     size = base.agg(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("answer"), F.lit(0)) + 16)).first()[0] or 0
-    return base, -(-size // block_bytes)
-
-
-def _block(base: DataFrame, k: int, blocks: int) -> tuple:
-    return tuple(sorted((tuple(r) for r in base.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()), key=repr))
+    blocks = -(-size // block_bytes)
+    if not blocks:
+        return
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, text, given in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                words = [w for part in parts_of(text, given) for w in part]
+                own = sorted(set(words))
+                if own:  # the first row of an item carries its length
+                    lengths = [len(words)] + [None] * (len(own) - 1)
+                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(own), pa.int64()), pa.array(own, pa.binary()), pa.array(lengths, pa.int64())], ["block", "word", "n"])
+
+    block_of = F.pmod(F.xxhash64("text"), F.lit(blocks))
+    base = base.withColumn("block", block_of)
+    rows = base.select("block", "text", "answer").mapInArrow(common.tidied(counted), "block long, word binary, n long")
+    by_word = rows.groupBy("word").agg(F.count("*").alias("df"), F.collect_set("block").alias("blocks"), F.count("n").alias("items"), F.sum("n").alias("sum"), F.max("n").alias("longest"))
+    by_word = common.cut(by_word)
+    total = by_word.agg(F.sum("items"), F.sum("sum"), F.max("longest")).first()
+    n, mean, longest = total[0] or 0, (total[1] or 0) / max(1, total[0] or 0), total[2] or 0
+    for k in range(blocks):
+        block = tuple(sorted((tuple(r) for r in base.where(F.col("block") == k).drop("block").collect()), key=repr))
+        df = by_word.where(F.array_contains("blocks", k)).select("word", "df").collect()
+        yield block, Stats(n, mean, longest, tuple(sorted((bytes(r["word"]), r["df"]) for r in df)))
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, stride: int = STRIDE, block_bytes: int = BLOCK_BYTES, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None) -> DataFrame:
     """The rows of docs, all columns, that hold no item; each block of items is one pass without a shuffle."""
-    base, blocks = _blocks(items, block_bytes, item_col, item_text, answer_col)
-    for k in range(blocks):
-        block = _block(base, k, blocks)
+    for block, stats in _blocks(items, block_bytes, item_col, item_text, answer_col):
 
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            index = index_of(block)
+        def run(batches: Iterator[pa.RecordBatch], block=block, stats=stats) -> Iterator[pa.RecordBatch]:
+            index = index_of(block, stats)
             for batch in common.slices(batches, SLICE_BYTES, text_col):
                 found = index.matches([x.decode() for x in common.texts(batch, text_col)], threshold, overlap, stride)
                 yield batch.filter(pa.array([not hits for hits in found], pa.bool_()))
@@ -267,18 +297,17 @@ def find(
     answer_col: str | None = None,
 ) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): one row for each verified pair."""
-    base, blocks = _blocks(items, block_bytes, item_col, item_text, answer_col)
     schema = T.StructType(
         [T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("item_id", items.schema[item_col].dataType)]
         + [T.StructField(x, T.DoubleType()) for x in ("score", "question_overlap", "answer_overlap")]
     )
+    to_arrow = [to_arrow_type(f.dataType) for f in schema.fields[1:]]
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    out = docs.sparkSession.createDataFrame([], schema)
-    for k in range(blocks):
-        block = _block(base, k, blocks)
+    out = None
+    for block, stats in _blocks(items, block_bytes, item_col, item_text, answer_col):
 
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            index = index_of(block)
+        def run(batches: Iterator[pa.RecordBatch], block=block, stats=stats) -> Iterator[pa.RecordBatch]:
+            index = index_of(block, stats)
             for batch in common.slices(batches, SLICE_BYTES):
                 rows, found = [], []
                 for row, hits in enumerate(index.matches([x.decode() for x in common.texts(batch)], threshold, overlap, stride)):
@@ -290,8 +319,6 @@ def find(
                     cols += [pa.array(x, type=f) for x, f in zip(zip(*found, strict=True), to_arrow, strict=True)]
                     yield pa.RecordBatch.from_arrays(cols, schema.fieldNames())
 
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        to_arrow = [to_arrow_type(f.dataType) for f in schema.fields[1:]]
-        out = texts.mapInArrow(common.tidied(run), schema) if k == 0 else out.unionByName(texts.mapInArrow(common.tidied(run), schema))
-    return out
+        found = texts.mapInArrow(common.tidied(run), schema)
+        out = found if out is None else out.unionByName(found)
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out

@@ -26,6 +26,8 @@ def test_finds_what_was_planted(spark):
     assert got == {(500, 3): 1, (501, 4): 2}
     blocks = collections.Counter((r["doc_id"], r["item_id"]) for r in decontaminate.find(frame(spark, planted()), items(spark), block_bytes=900).collect())
     assert blocks == got
+    rows = lambda **k: sorted(tuple(r) for r in decontaminate.find(frame(spark, planted()), items(spark), **k).collect())
+    assert rows() == rows(block_bytes=900)  # scores too: the statistics are of all items
 
 
 def test_clean_keeps_rows_and_columns(spark):
