@@ -5,8 +5,12 @@ Rows are packed so that the shuffles stay small. Documents are gathered in block
 stream (in document and position order) is an array of numbers into the block's own dictionary, more frequent tokens
 first; the dictionary is dealt over `buckets` by a hash of the token, sorted within each. One packed row is a block;
 one (bucket, block) row carries that bucket's part of a block's dictionary to the task that owns the bucket. A token in
-every document is one entry for each block, so hot tokens are pre-aggregated where they are read, and buckets are as
-many as the cluster's shuffle partitions.
+every document is one entry for each block, so hot tokens are pre-aggregated where they are read. Buckets and gather
+tasks grow with the input's bytes.
+
+Recovery: each bucket's part of a dictionary has a mark, the XXH64 of its sorted tokens, kept in the block's row and in
+the answer to the part. A block that is packed again from a re-ordered input has other marks than the answers to its
+first packing, and the task that opens it raises instead of joining answers to the wrong tokens.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -26,6 +31,8 @@ from pyspark.sql import functions as F
 from . import common
 
 BLOCK_BYTES = 12_000_000
+#: Bytes of input (as stored) for each gather task and bucket, where that gives more than the session's partitions.
+TASK_BYTES = 8_000_000
 
 
 def squeeze(data: bytes) -> bytes:
@@ -61,6 +68,14 @@ def bucket_of(token: bytes, buckets: int) -> int:
     return zlib.crc32(token) % buckets
 
 
+def mark_of(words: list[bytes]) -> bytes:
+    """A digest of a sorted list of tokens."""
+    mark = xxhash.xxh64()
+    for w in words:
+        mark.update(len(w).to_bytes(4, "big") + w)
+    return mark.digest()
+
+
 class Block:
     """Gathers documents; `pack` gives the row's bytes."""
 
@@ -95,10 +110,11 @@ class Block:
             if part:
                 part.sort()
                 own = np.array([i for _, i in part], dtype=np.int64)
-                dictionary[k] = (pack_tokens([w for w, _ in part]), pack_numbers(count[own]))
+                words = [w for w, _ in part]
+                dictionary[k] = (pack_tokens(words), pack_numbers(count[own]), mark_of(words))
                 order.append(place[own])
         order = np.concatenate(order) if order else np.zeros(0, dtype=np.int64)
-        kept = {"rows": self.rows, "n": n, "stream": pack_numbers(place[stream]), "order": pack_numbers(order), "buckets": set(dictionary)}
+        kept = {"rows": self.rows, "n": n, "stream": pack_numbers(place[stream]), "order": pack_numbers(order), "marks": {k: d[2] for k, d in dictionary.items()}}
         return pickle.dumps(kept), pickle.dumps(dictionary)
 
 
@@ -133,7 +149,7 @@ def pack(docs: DataFrame, columns: list[str], tokens_of: Callable[[bytes], list[
 
 
 def parts(packed: DataFrame) -> DataFrame:
-    """(bucket, block, tokens, counts): the dictionary rows of packed blocks."""
+    """(bucket, block, tokens, counts, mark): the dictionary rows of packed blocks."""
     split = "dictionary" in packed.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,18 +157,18 @@ def parts(packed: DataFrame) -> DataFrame:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found = pickle.loads(data.as_py() if split else pickle.loads(data.as_py())[1])
                 if found:
-                    tokens, counts = zip(*found.values(), strict=True)
-                    cols = [pa.array(list(found), pa.int32()), pa.array([block] * len(found)), pa.array(tokens, pa.binary()), pa.array(counts, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(cols, ["bucket", "block", "tokens", "counts"])
+                    cols = [pa.array(list(found), pa.int32()), pa.array([block] * len(found))]
+                    cols += [pa.array(x, pa.binary()) for x in zip(*found.values(), strict=True)]
+                    yield pa.RecordBatch.from_arrays(cols, ["bucket", "block", "tokens", "counts", "mark"])
 
-    return packed.select("block", "dictionary" if split else "pack").mapInArrow(common.tidied(run), "bucket int, block string, tokens binary, counts binary")
+    return packed.select("block", "dictionary" if split else "pack").mapInArrow(common.tidied(run), "bucket int, block string, tokens binary, counts binary, mark binary")
 
 
 def gather(packed: DataFrame, answers: DataFrame, partitions: int | None = None) -> DataFrame:
-    """(block, pack, answers): each block with its (bucket, answer) list; answers: (bucket, block, answer)."""
+    """(block, pack, answers): each block with its (bucket, mark, answer) list; answers: (bucket, block, mark, answer)."""
     if partitions:  # more and smaller tasks than the session's number
         packed, answers = packed.repartition(partitions, "block"), answers.repartition(partitions, "block")
-    lists = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "answer")).alias("answers"))
+    lists = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "mark", "answer")).alias("answers"))
     return packed.join(lists, "block", "left").select("block", "pack", "answers")
 
 
@@ -164,7 +180,7 @@ def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], np.
             block = pickle.loads(data.as_py())
             block = pickle.loads(block[0]) if isinstance(block, tuple) else block
             got = {r["bucket"]: r["answer"] for r in (found.as_py() or [])}
-            if set(got) != block["buckets"]:
+            if {r["bucket"]: r["mark"] for r in (found.as_py() or [])} != block["marks"]:
                 raise RuntimeError("a block was packed again in another way: its input isn't deterministic")
             order = unpack_numbers(block["order"])
             back = np.empty(block["n"], dtype=np.int64)
@@ -173,4 +189,12 @@ def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], np.
 
 
 def buckets_of(df: DataFrame) -> int:
-    return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return 2 * tasks_of(df)
+
+
+def tasks_of(df: DataFrame, task_bytes: int = TASK_BYTES) -> int:
+    """Tasks for df's bytes by the optimizer's estimate, at least the session's shuffle partitions; an input of unknown
+    size (such as a checkpoint) takes those."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return least if size >= 1 << 60 else max(least, -(-size // task_bytes))

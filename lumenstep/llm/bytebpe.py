@@ -1,13 +1,17 @@
 """Byte-level BPE encoding and decoding over a distinct-word shuffle.
 
-Texts are exploded to pre-tokens with their positions; each distinct pre-token is encoded once, in the task that owns
-its bucket, by merging the adjacent pair of the lowest rank until none is left; ids are joined back to the blocks and
-reassembled by position. Decoding joins ids with the token-byte table (bounded by the vocabulary, in the closure's
-process) and concatenates. See `blocks` for the packing: the shuffles carry each distinct pre-token of a block, not each
+Texts are exploded to pre-tokens with their positions; each distinct pre-token of the whole table is encoded once, in
+the task that owns its bucket, by merging the adjacent pair of the lowest rank until none is left; ids are joined back
+to the blocks and reassembled by position. An owner reads its buckets one after the other and holds the distinct
+pre-tokens of one, whose number `blocks.buckets_of` keeps bounded by raising the buckets with the input.
+
+Decoding joins the ids of each distinct pre-token with the token-byte table (one row an id, so bounded by the
+vocabulary), `decoded` as a vector take over Arrow arrays, `decode` as a join of the exploded ids of a DataFrame, and
+reassembles by position. See `blocks` for the packing: the shuffles carry each distinct pre-token of a block, not each
 occurrence, and a very frequent one is one entry for each block.
 
 Defined cases: null is an empty text (0 tokens, digests of the empty string); repeated rows are encoded alike; an empty
-table gives an empty result; extra columns are ignored unless kept by name.
+table gives an empty result; a very long text is a block of its own; extra columns are ignored unless kept by name.
 """
 
 from __future__ import annotations
@@ -19,15 +23,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import blocks, common
 
-_MEMO = 100_000
-
 
 class Codec:
     """Ranks of one vocabulary file: lines of a base64 token and its rank."""
@@ -35,20 +37,18 @@ class Codec:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.bytes = {v: k for k, v in self.ranks.items()}
-        self.memo: dict[bytes, tuple[int, ...]] = {}
+        size = max(self.ranks.values()) + 1
+        table: list[bytes | None] = [None] * size
+        for token, rank in self.ranks.items():
+            table[rank] = token
+        self.table = pa.array(table, pa.large_binary())  # the token-byte table: row k is the bytes of id k
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one pre-token."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        found = self.memo.get(piece)
-        if found is None:
-            if len(self.memo) >= _MEMO:
-                self.memo.clear()
-            found = self.memo[piece] = self._merge(piece)
-        return found
+        return self._merge(piece)
 
     def _merge(self, piece: bytes) -> tuple[int, ...]:
         if len(piece) > 400:
@@ -104,8 +104,15 @@ class Codec:
             a = end[a]
         return tuple(out)
 
-    def decode(self, ids: tuple[int, ...]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+    def decoded(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """The bytes of rows of ids (row after row, of the sizes): ids join the token-byte table, rows are cut by length."""
+        rows = self.table.take(pa.array(ids, pa.int32()))
+        if rows.null_count:
+            raise ValueError("an id is not in the token-byte table")
+        length = np.concatenate(([0], np.cumsum(np.asarray(pa.compute.binary_length(rows), dtype=np.int64))))
+        ends = length[np.cumsum(sizes)].tolist() if len(sizes) else []
+        flat = b"".join(rows.to_pylist())
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 _codecs: dict[str, Codec] = {}
@@ -131,25 +138,51 @@ def splitter(pattern: str):
 
 def _packed(docs: DataFrame, columns: list[str], pattern: str, buckets: int) -> tuple[DataFrame, DataFrame]:
     split = splitter(pattern)
-    packed = blocks.pack(docs, columns, lambda text: split(text), None, buckets).repartition("block")
+    packed = blocks.pack(docs, columns, lambda text: split(text), None, buckets).repartition(buckets // 2, "block")
     return packed, blocks.parts(packed)
 
 
 def _answers(dictionary: DataFrame, path: str, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own, now = codec(path), None
+        known: dict[bytes, tuple[int, ...]] = {}  # the distinct pre-tokens of the bucket at hand
         for batch in batches:
             out = []
-            for data in batch.column(2):
-                ids = [own.encode(w) for w in blocks.unpack_tokens(data.as_py())]
+            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                if bucket != now:
+                    now, known = bucket, {}
+                ids = []
+                for w in blocks.unpack_tokens(data.as_py()):
+                    found = known.get(w)
+                    if found is None:
+                        found = known[w] = own.encode(w)
+                    ids.append(found)
                 size = np.fromiter(map(len, ids), np.int64, len(ids))
                 flat = np.fromiter((x for row in ids for x in row), np.int64, int(size.sum()))
                 out.append(blocks.pickle.dumps((blocks.pack_numbers(size), blocks.pack_numbers(flat))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["bucket", "block", "answer"])
-        own.memo.clear()
+            cols = [batch.column(0), batch.column(1), batch.column(3), pa.array(out, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["bucket", "block", "mark", "answer"])
+
+    owned = dictionary.select("bucket", "block", "tokens", "mark").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return owned.mapInArrow(common.tidied(run), "bucket int, block string, mark binary, answer binary")
+
+
+def token_table(spark: SparkSession, path: str) -> DataFrame:
+    """(id, bytes): one row for each token of the vocabulary."""
+    ranks = codec(path).ranks
+    return spark.createDataFrame([(k, token) for token, k in ranks.items()], "id int, bytes binary")
+
 
-    owned = dictionary.select("bucket", "block", "tokens").repartition(buckets, "bucket")
-    return owned.mapInArrow(common.tidied(run), "bucket int, block string, answer binary")
+def decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """(id_col, decoded): the bytes of each row's array of ids, joined with the token-byte table by position. Null and
+    empty arrays give empty bytes; an id outside the table raises; repeated rows stay apart."""
+    tagged = rows.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), F.coalesce(ids_col, F.expr("array()")).alias("_ids"))
+    places = tagged.select("_row", F.posexplode("_ids").alias("at", "id"))
+    known = places.join(F.broadcast(token_table(rows.sparkSession, path)), "id", "left")  # bounded by the vocabulary
+    checked = F.coalesce("bytes", F.raise_error(F.lit("an id is not in the token-byte table")).cast("binary"))
+    lists = known.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("at", checked.alias("b")))).alias("parts"))
+    flat = F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["b"]))
+    return tagged.join(lists, "_row", "left").select(id_col, F.coalesce(F.when(F.col("parts").isNotNull(), flat), F.lit(b"")).alias("decoded"))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = (), with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,15 +202,17 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = (),
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for rows, stream, answers in blocks.opened(batches):
-            ids: list[tuple[int, ...]] = []
+            sizes_of, ids_of = [], []
             for data in answers:
-                size, flat = (blocks.unpack_numbers(x) for x in blocks.pickle.loads(data))
-                ends, flat = np.cumsum(size).tolist(), flat.tolist()
-                ids += [tuple(flat[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
-            shown = [",".join(map(str, x)) for x in ids]
-            plain = [own.decode(x) for x in ids]
-            count = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((x for row in ids for x in row), np.int32, int(count.sum())) if with_ids else None
+                size, found = (blocks.unpack_numbers(x) for x in blocks.pickle.loads(data))
+                sizes_of.append(size)
+                ids_of.append(found)
+            none = np.zeros(0, dtype=np.int64)
+            count, flat = (np.concatenate([none, *x]) for x in (sizes_of, ids_of))
+            plain = own.decoded(flat, count)
+            names, ends = list(map(str, flat.tolist())), np.cumsum(count).tolist()
+            shown = [",".join(names[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+            flat = flat.astype(np.int32)
             first = np.cumsum(count) - count
             at, out, lists = 0, [], []
             for row in rows:
@@ -203,4 +238,4 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = (),
             cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists))))
         return pa.RecordBatch.from_arrays(cols, schema.fieldNames())
 
-    return blocks.gather(packed, _answers(dictionary, path, buckets)).mapInArrow(common.tidied(run), schema)
+    return blocks.gather(packed, _answers(dictionary, path, buckets).repartition(buckets // 2, "block")).mapInArrow(common.tidied(run), schema)

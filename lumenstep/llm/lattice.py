@@ -138,11 +138,11 @@ def piece_counts(merged: DataFrame, size: int) -> np.ndarray:
 
 
 def _answers(dictionary: DataFrame, merged: DataFrame, buckets: int, path: str, scores: np.ndarray) -> DataFrame:
-    """(bucket, block, answer): counts and log10 probabilities of each dictionary row's words, in order.
+    """(bucket, block, mark, answer): counts and log10 probabilities of each dictionary row's words, in order.
 
     A bucket's merged words are scored in its task and come before the rows that ask for them."""
-    asked = dictionary.select("bucket", F.lit(1).alias("kind"), "block", "tokens", F.lit(None).cast("binary").alias("counts"))
-    known = merged.select("bucket", F.lit(0).alias("kind"), F.lit("").alias("block"), "tokens", "counts")
+    asked = dictionary.select("bucket", F.lit(1).alias("kind"), "block", "tokens", F.lit(None).cast("binary").alias("counts"), "mark")
+    known = merged.select("bucket", F.lit(0).alias("kind"), F.lit("").alias("block"), "tokens", "counts", F.lit(None).cast("binary").alias("mark"))
     rows = known.unionByName(asked).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +153,7 @@ def _answers(dictionary: DataFrame, merged: DataFrame, buckets: int, path: str,
         counts = logs = np.zeros(0)
         for batch in batches:
             out: list[tuple] = []
-            for bucket, kind, block, tokens, own_counts in zip(*(batch.column(k) for k in range(5)), strict=True):
+            for bucket, kind, block, tokens, own_counts, mark in zip(*(batch.column(k) for k in range(6)), strict=True):
                 words = blocks.unpack_tokens(tokens.as_py())
                 if kind.as_py() == 0:
                     place = {w: k for k, w in enumerate(words)}
@@ -162,12 +162,12 @@ def _answers(dictionary: DataFrame, merged: DataFrame, buckets: int, path: str,
                 else:
                     at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
                     answer = pickle.dumps((blocks.squeeze(counts[at].tobytes()), _pack_floats(logs[at])))
-                    out.append((bucket.as_py(), block.as_py(), answer))
+                    out.append((bucket.as_py(), block.as_py(), mark.as_py(), answer))
             if out:
-                cols = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.string(), pa.binary()), strict=True)]
-                yield pa.RecordBatch.from_arrays(cols, ["bucket", "block", "answer"])
+                cols = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.string(), pa.binary(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays(cols, ["bucket", "block", "mark", "answer"])
 
-    return rows.mapInArrow(common.tidied(run), "bucket int, block string, answer binary")
+    return rows.mapInArrow(common.tidied(run), "bucket int, block string, mark binary, answer binary")
 
 
 def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -36,7 +37,8 @@ def test_pieces_match_the_library(encoding):
     rng = random.Random(1)
     for t in ["", "a" * 900, "é" * 600, "<|endoftext|>", "don't \x1c\x85 x", *("".join(chr(rng.choice([97, 98, 32, 10, 0x301, 0x4E2D, 0x1F600, 48])) for _ in range(60)) for _ in range(200))]:
         assert [i for w in split(t.encode()) for i in own.encode(w)] == encoding.encode_ordinary(t)
-        assert own.decode(tuple(encoding.encode_ordinary(t))) == t.encode()
+        ids = encoding.encode_ordinary(t)
+        assert own.decoded(np.array(ids), np.array([len(ids)])) == [t.encode()]
 
 
 def test_empty_tables(spark):
@@ -60,3 +62,65 @@ def test_prefixes_and_budgets():
         assert own.prefix_counts(t) == want
         budget = rng.randint(0, 20)
         assert own.longest_prefix(t, budget) == max(k for k, n in enumerate(want) if n <= budget)
+
+
+def test_prefix_table_answers_budgets(spark):
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = ["", "the other there", "été\n and  more\n", "漢字 " * 20, "x" * 700]
+    df = spark.createDataFrame([*enumerate(texts), (9, None)], "doc_id long, text string")
+    table = prefixcount.prefix_table(df, PIECES).cache()
+    for r in table.collect():
+        assert r["prefix_tokens"] == [len(sp.encode((r["text"] or "")[:k])) for k in range(len(r["text"] or "") + 1)]
+    for budget in (0, 3, 10, 1000):
+        want = {k: max((t[:n] for n in range(len(t) + 1) if len(sp.encode(t[:n])) <= budget), key=len) for k, t in enumerate(texts)}
+        assert {r["doc_id"]: r["text"] for r in prefixcount.truncate(table, budget).collect() if r["doc_id"] != 9} == want
+        assert all(r["fits"] == (r["n_tokens"] <= budget) for r in prefixcount.fits(table, budget).collect())
+    table.unpersist()
+
+
+def test_stored_chunks_are_dropped_by_bytes(monkeypatch):
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    monkeypatch.setattr(prefixcount, "TABLE_BYTES", 2000)
+    own, rng = prefixcount.PrefixCounter(PIECES), random.Random(6)
+    for _ in range(60):
+        t = " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 400))) for _ in range(4))
+        assert own.count(t) == len(sp.encode(t)) and own.held < 20_000
+
+
+def test_many_blocks(spark, monkeypatch):
+    from lumenstep.llm import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(blocks.pack, "__defaults__", (500, False))
+    got = bytebpe.encode(frame(spark), BPE, public_tokenizers.PATTERN).collect()
+    want = Counter((r[0], hashlib.sha256((r[1] or "").encode()).hexdigest()) for r in rows())
+    assert Counter((r["doc_id"], r["decoded_sha256"]) for r in got) == want
+
+
+def test_a_block_of_other_input_raises():
+    from lumenstep.llm import blocks
+
+    def pack(texts):
+        block = blocks.Block()
+        for k, t in enumerate(texts):
+            block.add((k,), t, False, 1)
+        return block.pack(3)
+
+    (one, first), (_, other) = pack([[b"a", b"b"], [b"c"]]), pack([[b"a", b"b"], [b"d"]])
+    load = blocks.pickle.loads
+    marks = {k: d[2] for k, d in load(first).items()}
+    assert load(one)["marks"] == marks and {k: d[2] for k, d in load(other).items()} != marks
+    import pyarrow as pa
+
+    answers = [{"bucket": k, "mark": d[2], "answer": b""} for k, d in load(other).items()]
+    kind = pa.list_(pa.struct([("bucket", pa.int32()), ("mark", pa.binary()), ("answer", pa.binary())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(["0-0"]), pa.array([one], pa.binary()), pa.array([answers], kind)], ["block", "pack", "answers"])
+    with pytest.raises(RuntimeError):
+        list(blocks.opened(iter([batch])))
+
+
+def test_decoding_joins_the_token_table(spark, encoding):
+    texts = ["", "don't stop", "漢字 😀 é", "a" * 50]
+    df = spark.createDataFrame([*((k, encoding.encode_ordinary(t)) for k, t in enumerate(texts)), (9, None), (1, encoding.encode_ordinary(texts[1]))], "doc_id long, ids array<int>")
+    got = Counter((r["doc_id"], bytes(r["decoded"])) for r in bytebpe.decode(df, BPE).collect())
+    assert got == Counter([*((k, t.encode()) for k, t in enumerate(texts)), (9, b""), (1, texts[1].encode())])
