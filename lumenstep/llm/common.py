@@ -22,10 +22,13 @@ LOWER_BYTES = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir; where that is unset (tests), a temporary one is set."""
+    """The folder all machines share: spark.checkpoint.dir. Where that is unset, a temporary one is set in local mode
+    (tests), which has one machine; a cluster without the setting raises."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         found = tempfile.mkdtemp(prefix="lumenstep-")
         sc.setCheckpointDir(found)
     return found

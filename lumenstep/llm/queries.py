@@ -52,7 +52,7 @@ def op4_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return surrogates.pseudonymise(docs, count_col="n_entities")
+    return surrogates.pseudonymise(docs, surrogates.key_of(spark), count_col="n_entities")
 
 
 @_query
@@ -62,7 +62,9 @@ def op6_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op7_deep_shallow_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.remove_repeats(read(spark, sf_dir, "documents"))
+    found = substrings.remove_repeats(read(spark, sf_dir, "documents"), with_text=True)
+    text = F.make_valid_utf8(F.col("kept").cast("string")).alias("text")  # a removed span may begin or end within a character
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", text)
 
 
 @_query

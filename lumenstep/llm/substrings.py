@@ -6,41 +6,43 @@ equal windows have equal anchors at equal offsets, and only suffixes at anchors
 The windows of an anchor are a range of starts; their bytes are its context.
 
 1. Anchors with their k-gram hash (class) and context digest are written once. Classes that occur once are done.
-2. Equal contexts are one row with a count (combined before the shuffle). A context that occurs twice is repeated in
-   full. A context that occurs once, in a class of several contexts, is ordered with its class: right sides (from the
-   anchor on) and reversed left sides are sorted by deep-shallow sorting (multikey quicksort to a shallow depth, blind
-   tries below), and the longest-common-prefix intervals of the right sides, with the neighbours by left side in each,
-   give the exact starts whose window occurs elsewhere.
-3. A class of more than `most_contexts` contexts, as around a passage in a third of all documents, never meets in one
-   task: its windows go through the packed distinct-token shuffle of `blocks` instead, by 128-bit digest.
-4. Starts come back to the texts that hold the context, and covered bytes are cut out.
-
-Decisions belong to distinct texts (by MD5), so copies are one row in every grouping; hot keys occur in joins of narrow
-rows only, where AQE splits them. Texts are shuffled once, combined by key: both joins with distinct texts read the same
-exchange (the key is never null, so neither join adds a filter below it).
-
-Defined cases: null is an empty text; texts shorter than `length` stay whole; repeated rows count as occurrences of each
-other; an empty table gives an empty result; extra columns are ignored.
+2. Equal contexts are one row with a count (combined before the shuffle); one that occurs twice is repeated in full.
+3. The contexts of a class are ordered: right sides (from the anchor on) and reversed left sides are sorted by
+   deep-shallow sorting (multikey quicksort to a shallow depth, blind tries below), and the longest-common-prefix
+   intervals of the right sides, with the neighbours by left side in each, give the exact starts whose window occurs
+   elsewhere.
+4. A class of more than `most_contexts` contexts, as around a passage in a third of all documents, is split by longer
+   keys before it is sorted: its windows are dealt by offset from the anchor in eight ranges. All windows of a range
+   share their middle, so only contexts with an equal middle meet, each reduced to the bytes of its range, equal ones
+   again one row with a count. A group that is still too large is split again in the same way; a range of one offset
+   leaves nothing but the window, so the splitting ends and no window is decided in another way.
+5. Starts come back to the texts that hold the context, and covered bytes are cut out.
+
+Decisions belong to distinct texts (by SHA-256), so copies are one row in every grouping; hot keys occur in joins of
+narrow rows only, where AQE splits them. Texts are shuffled once, combined by key: both joins with distinct texts read
+the same exchange (the key is never null, so neither join adds a filter below it).
+
+Defined cases: null is an empty text; texts shorter than `length` stay whole; very long texts go piece by piece;
+repeated rows count as occurrences of each other; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import blocks, common, deepshallow
+from . import common, deepshallow
 
 LENGTH = 400
 GRAM = 32
-MOST_CONTEXTS = 256
+SORTED_TOGETHER = 256  # contexts that one sort takes; larger groups are split by longer keys first
+SPLIT = 8
 SLICE_BYTES = 2_000_000
 _BITS = 22  # of a place in a slice, in the packed (hash, place) order
 
@@ -99,9 +101,14 @@ def _entries(text: bytes, length: int) -> Iterator[tuple[int, int, int, int, byt
 
 
 def _rows(data: bytes, base: int, low: np.ndarray, high: np.ndarray, place: np.ndarray, hashes: np.ndarray, length: int):
-    view, digest = memoryview(data), xxhash.xxh3_128_digest
+    view = memoryview(data)
     for a, b, p, h in zip(low.tolist(), high.tolist(), place.tolist(), hashes.view(np.int64).tolist(), strict=True):
-        yield base + a, base + b, base + p, h, digest(view[a : b + length], p - a)
+        yield base + a, base + b, base + p, h, _digest(p - a, view[a : b + length])
+
+
+def _digest(place: int, data: bytes | memoryview) -> bytes:
+    """128 bits of bytes and of a place in them."""
+    return hashlib.blake2b(data, digest_size=16, salt=place.to_bytes(8, "big")).digest()
 
 
 def entries(texts: DataFrame, length: int) -> DataFrame:
@@ -213,51 +220,58 @@ def _range_batch(done: list[tuple[bytes, list]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([c for c, _ in done], pa.binary()), pa.array(ranges, kind)], ["ch", "ranges"])
 
 
-def _hot_classes(contexts: DataFrame, length: int) -> DataFrame:
-    """(ch, ranges) of the contexts of very large classes, by the digests of their windows."""
-    buckets = blocks.buckets_of(contexts)
+_PARTS = "ch binary, n long, grp binary, red binary, low int, high int"
 
-    def windows(body: bytes) -> list[bytes]:
-        view, digest = memoryview(body)[1:], xxhash.xxh3_128_digest
-        own = [digest(view[k : k + length]) for k in range(len(view) - length + 1)]
-        return own * body[0]  # a context that occurs twice counts twice
 
-    many = F.when(F.col("n") > 1, F.unhex(F.lit("02"))).otherwise(F.unhex(F.lit("01")))
-    rows = contexts.select(F.concat(many, "body").alias("_text"), "ch", "cut", "n", F.lit(True).alias("_all"))
-    packed = blocks.pack(rows, ["ch", "cut", "n"], lambda body: windows(body), "_all", buckets).repartition("block")
+def _dealt(contexts: DataFrame, width: int, length: int) -> DataFrame:
+    """(ch, n, grp, red, low, high) of contexts (fp, ch, n, cut, body, low, high): their windows by offset from the
+    anchor in ranges of `width`; grp is a key of the middle that all windows of a range share, red one of its bytes."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, list[tuple]] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for bucket, block, tokens, counts in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                kept.setdefault(bucket, []).append((block, tokens, counts))
-        for bucket, rows in kept.items():
-            total: dict[bytes, int] = {}
-            for _, tokens, counts in rows:
-                for w, c in zip(blocks.unpack_tokens(tokens), blocks.unpack_numbers(counts).tolist(), strict=True):
-                    total[w] = total.get(w, 0) + c
-            answers = [blocks.squeeze(bytes(total[w] > 1 for w in blocks.unpack_tokens(tokens))) for _, tokens, _ in rows]
-            cols = [pa.array([bucket] * len(rows), pa.int32()), pa.array([b for b, _, _ in rows]), pa.array(answers, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["bucket", "block", "answer"])
-
-    owned = blocks.parts(packed).repartition(buckets, "bucket")
-    answers = owned.mapInArrow(common.tidied(count), "bucket int, block string, answer binary")
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, stream, found in blocks.opened(batches):
-            flags = np.frombuffer(b"".join(blocks.unsqueeze(x) for x in found), dtype=np.uint8)[stream] > 0
-            at, done = 0, []
-            for ch, cut, n, size in rows:
-                mine = np.flatnonzero(flags[at : at + size])
-                at += size
-                if n == 1 and len(mine):
-                    ends = np.flatnonzero(np.diff(mine) != 1)
-                    heads, tails = mine[np.concatenate(([0], ends + 1))], mine[np.concatenate((ends, [len(mine) - 1]))]
-                    done.append((ch, [(cut - b, cut - a) for a, b in zip(heads.tolist(), tails.tolist(), strict=True)]))
+            done = []
+            for fp, ch, n, cut, body, low, high in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                for part in range(low // width, high // width + 1):
+                    first, last = part * width, (part + 1) * width - 1
+                    own = max(low, first), min(high, last)
+                    middle = body[cut - first : cut + length - last]
+                    grp = _digest(part, fp.to_bytes(8, "big", signed=True) + middle)
+                    done.append((ch, n, grp, _digest(own[1], body[cut - own[1] : cut - own[0] + length]), *own))
             if done:
-                yield _range_batch(done)
+                kinds = (pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32())
+                cols = [pa.array(list(c), k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(cols, ["ch", "n", "grp", "red", "low", "high"])
+
+    return contexts.select("fp", "ch", "n", "cut", "body", "low", "high").mapInArrow(common.tidied(run), _PARTS)
 
-    return blocks.gather(packed, answers).mapInArrow(common.tidied(judge), _RANGES)
+
+def _split_classes(contexts: DataFrame, length: int, most: int) -> list[DataFrame]:
+    """[(ch, ranges)] of the contexts of very large classes, split by longer keys until a sort can take each group."""
+    width = length - GRAM + 1
+    reach = (F.octet_length("body") - length).cast("int")
+    bodies = common.written(contexts.withColumn("high", F.col("cut")).withColumn("low", F.col("cut") - reach), "hot-contexts")
+    todo, out = bodies, []
+    while not todo.isEmpty():
+        width = -(-width // SPLIT)
+        parts = common.written(_dealt(todo, width, length), "hot-parts")
+        reds = parts.groupBy("grp", "red").agg(F.sum("n").alias("n"), F.min(F.struct("ch", "low", "high")).alias("rep"))
+        reds = common.written(reds.select("grp", "red", "n", "rep.*"), "hot-reduced")
+        again = reds.where("n > 1").select(F.col("grp").alias("g"), F.col("red").alias("r"))
+        all_of = F.array(F.struct(F.col("low").alias("least"), F.col("high").alias("most"))).alias("ranges")
+        twice = parts.where("n = 1").join(again, (F.col("grp") == F.col("g")) & (F.col("red") == F.col("r")))
+        out.append(twice.select("ch", all_of))
+        sizes = common.written(reds.groupBy("grp").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 AND least = 1").select("grp", "k"), "hot-groups")
+        if sizes.isEmpty():
+            break
+        base = bodies.select("fp", F.col("ch").alias("of"), "cut", "body")
+        open_ = reds.join(sizes, "grp").join(base, F.col("ch") == F.col("of")).drop("of")
+        body = F.substring("body", F.col("cut") - F.col("high") + 1, F.col("high") - F.col("low") + length)
+        small = open_.where(F.col("k") <= most).select(F.col("grp").alias("fp"), "ch", "n", F.col("high").alias("cut"), body.alias("body"))
+        out.append(_sorted_classes(small, length))
+        if width == 1:
+            break  # every reduced context is one window, equal ones are counted together
+        todo = common.written(open_.where(F.col("k") > most).select("fp", "ch", "n", "cut", "body", "low", "high"), "hot-rest")
+    return out
 
 
 def _contexts(texts: DataFrame, asked: DataFrame, length: int) -> DataFrame:
@@ -279,12 +293,13 @@ def _contexts(texts: DataFrame, asked: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(common.tidied(run), schema)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, most_contexts: int = MOST_CONTEXTS, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text adds spans (start, end in bytes) and kept (bytes)."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, most_contexts: int = SORTED_TOGETHER, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text adds spans (start, end in bytes) and kept
+    (bytes)."""
     if length < GRAM + 1:
         raise ValueError(f"length must be over {GRAM}")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = texts.select(F.coalesce(F.unhex(F.md5("text")), F.unhex(F.lit(""))).alias("key"), "doc_id", "text")
+    texts = texts.select(F.coalesce(F.unhex(F.sha2("text", 256)), F.unhex(F.lit(""))).alias("key"), "doc_id", "text")
     every = common.written(entries(texts.where(F.octet_length("text") >= length), length), "anchors")
     # written, so that both sides of the join are plain shuffles: AQE splits a hot class only then
     shared = common.written(every.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp"), "classes")
@@ -300,7 +315,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, most_contexts: int = M
         return _contexts(unique, of.groupBy("rep.key").agg(reps), length)
 
     ranges = _sorted_classes(bodies(open_.where(F.col("k") <= most_contexts)), length)
-    ranges = ranges.unionByName(_hot_classes(bodies(open_.where(F.col("k") > most_contexts)), length))
+    if not classes.where(F.col("k") > most_contexts).isEmpty():
+        for part in _split_classes(bodies(open_.where(F.col("k") > most_contexts)), length, most_contexts):
+            ranges = ranges.unionByName(part)
     twice = context.where("n > 1").select("ch", F.lit(None).cast("array<struct<least:int,most:int>>").alias("ranges"))
     decided = ranges.unionByName(twice)
     whole = F.array(F.struct((F.col("p") - F.col("hi")).alias("least"), (F.col("p") - F.col("lo")).alias("most")))

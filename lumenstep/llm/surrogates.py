@@ -1,9 +1,10 @@
 """PII: surrogate generation with built-in DataFrame functions only.
 
-Entities (e-mail, IPv4, phone, payment card, IBAN, US social security number, access key, assigned secret, titled name)
-are found with one pattern. A mention's canonical form drops case and separators where they carry no meaning, so all
-spellings of an entity share one surrogate. A surrogate is derived from a keyed SHA-512 of (kind, canonical form,
-attempt) and keeps the type and format: digits stay digits, letters stay letters of their script and case, separators
+Entities (e-mail, IPv4, IPv6, phone, payment card, IBAN, US social security number, access key, assigned secret, titled
+name) are found with one pattern. A bare number of 13 to 19 digits is a card only if its Luhn sum is right; any other
+stays as it is. A mention's canonical form drops case and separators where they carry no meaning, so all
+spellings of an entity share one surrogate. A surrogate is derived from an HMAC-SHA-512, under the caller's key, of
+(kind, canonical form, attempt) and keeps the type and format: digits stay digits, letters stay letters of their script and case, separators
 stay, cards keep their first digit and a valid Luhn digit, phones their country code (ten digits without one count as +1), mails their top-level domain,
 names their title, gender, script and number of words.
 
@@ -12,7 +13,7 @@ next other word, an assigned secret all of its characters; neither has a length
 
 Collision check, over all entities of the corpus: every surrogate must belong to one entity and must not be an entity
 that really occurs. The first owner (lowest attempt, then canonical form) keeps it, the others draw again, round by
-round, until none is left; from the eighth attempt on free-form kinds grow a character, so the rounds end.
+round, until none is left; from the eighth attempt on free-form kinds, phones and IPv6 addresses grow, so the rounds end.
 
 Only texts with an entity are shuffled, once per distinct text: mentions are taken from distinct texts (combined before
 the shuffle), surrogates are joined to mentions, and texts are put together again from the pieces between mentions.
@@ -24,16 +25,20 @@ repeated rows; an empty table gives an empty result; extra columns are kept, wha
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-KEY = "lumenstep-surrogates"
+KEY_SETTING = "spark.lumenstep.surrogates.key"
+#: For tests and measurements only, where KEY_SETTING is unset: it is public, so surrogates under it can be guessed.
+EVALUATION_KEY = "evaluation only"
 MOST_ROUNDS = 40
 # Titles that tell gender, and name parts by script.
-MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Signor", "г-н")
-FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Signora", "г-жа")
+MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Signor", "г-н", "Κύριος", "Κος")
+FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Signora", "г-жа", "Κυρία", "Κα")
 _LATIN = "bal bel dor fen gar hal jor kel lin mar nor pel ran sol tam ver".split()
 _CYRILLIC = "бал бел дор фен гар хал жор кел лин мар нор пел ран сол там вер".split()
 _GREEK = "βαλ βελ δορ φεν γαρ χαλ ζορ κελ λιν μαρ νορ πελ ραν σολ ταμ βερ".split()
@@ -53,6 +58,7 @@ _NUMBERS = [
     r"(?<![\w.])\d{3}-\d{2}-\d{4}(?![\w-])",
     r"(?<![\w.-])(?:\d{4}[ -]){3}\d{4}(?![\w-])|(?<![\w.-])\d{13,19}(?!\w)",
 ]
+_SIX = r"(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])"
 _CAPITALS = [
     r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     r"(?<!\w)A[KS]IA[0-9A-Z]{16}(?!\w)",
@@ -62,8 +68,9 @@ _CAPITALS = [
 PATTERN = "|".join(
     [
         r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9][A-Za-z0-9-]{0,62}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
+        f"(?=[0-9A-Fa-f]{{1,4}}:){_SIX}",
         f"(?=[0-9+(])(?:{'|'.join(_NUMBERS)})",
-        f"(?=[A-Zг])(?:{'|'.join(_CAPITALS)})",
+        f"(?=[A-ZгΚ])(?:{'|'.join(_CAPITALS)})",
         rf"(?=[pstaPSTA])(?<![A-Za-z]){_SECRET}[A-Za-z0-9+/_.-]{{8,}}(?<=[A-Za-z0-9+/_-])",
     ]
 )
@@ -80,6 +87,30 @@ def has_entity(text: Column) -> Column:
     return F.coalesce((maybe | labelled) & text.rlike(PATTERN), F.lit(False))
 
 
+#: The kind of a number that isn't a card.
+NO_ENTITY = "number"
+
+
+def luhn(digits: Column) -> Column:
+    """The Luhn sum of a digit string, its last digit not doubled, modulo 10."""
+    each = F.split(F.reverse(digits), "")
+    value = F.transform(each, lambda x, k: F.when(x == "", 0).when(k % 2 == 0, x.cast("int")).otherwise(2 * x.cast("int") - F.when(x.cast("int") > 4, 9).otherwise(0)))
+    return F.aggregate(value, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))) % 10
+
+
+def key_of(spark: SparkSession) -> str:
+    """The session's secret key, or the evaluation key where none is set."""
+    return spark.conf.get(KEY_SETTING, None) or EVALUATION_KEY
+
+
+def hmac_sql(key: str, message: str) -> str:
+    """HMAC-SHA-512 (RFC 2104) of a string expression, as hex digits."""
+    raw = key.encode()
+    raw = (hashlib.sha512(raw).digest() if len(raw) > 128 else raw).ljust(128, b"\0")
+    inner, outer = (bytes(b ^ pad for b in raw).hex() for pad in (0x36, 0x5C))
+    return f"sha2(concat(X'{outer}', unhex(sha2(concat(X'{inner}', cast({message} as binary)), 512))), 512)"
+
+
 def kind_of(e: Column) -> Column:
     """The type of a mention."""
     digits = F.regexp_replace(e, "[^0-9]", "")
@@ -88,6 +119,8 @@ def kind_of(e: Column) -> Column:
         .when(e.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip")
         .when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(e.rlike(r"^(\+|\(\d{3}\)|\d{3}[.-]\d{3}[ .-]\d{4}$)"), "phone")
+        .when(e.rlike(r"^[0-9A-Fa-f]{1,4}:[0-9A-Fa-f:]+$"), "ip6")
+        .when(e.rlike(r"^\d{13,19}$") & (luhn(digits) != 0), NO_ENTITY)
         .when(e.rlike(r"^[\d -]+$") & (F.length(digits) >= 13), "card")
         .when(e.rlike(rf"^(?:{_TITLES})\.? "), F.when(e.rlike(rf"^(?:{'|'.join(MALE)})\.? "), "name-m").otherwise("name-f"))
         .when(e.rlike(r"^A[KS]IA[0-9A-Z]{16}$"), "key")
@@ -99,7 +132,7 @@ def kind_of(e: Column) -> Column:
 def canon_of(kind: Column, e: Column) -> Column:
     """The form that all spellings of an entity share."""
     return (
-        F.when(kind == "email", F.lower(e))
+        F.when(kind.isin("email", "ip6"), F.lower(e))
         .when(kind.isin("card", "ssn"), F.regexp_replace(e, "[^0-9]", ""))
         .when(kind == "phone", F.regexp_replace(F.regexp_replace(e, "[^0-9+]", ""), r"^(?=\d{10}$)", "+1"))
         .when(kind == "iban", F.regexp_replace(e, " ", ""))
@@ -163,12 +196,16 @@ def surrogate(key: str) -> Column:
     grown = "case when attempt >= 8 then array_join(transform(sequence(8, attempt), i -> " + _pick("abcdefghijklmnopqrstuvwxyz", "i + 100") + "), '') else '' end"
     country = r"case when canon like '+1%' then '+1' when canon like '+%' then substring(canon, 1, 3) else '' end"
     n = f"(length(canon) - length({country}))"
+    more = "greatest(0, attempt - 7)"
+    hexes = f"array_join(transform(regexp_extract_all(canon, '(?s).', 0), (c, k) -> case when c = ':' then c else {_pick('0123456789abcdef', '(k + 1)')} end), '')"
+    group = f"case when attempt >= 8 then concat(':', array_join(transform(sequence(1, 4), i -> {_pick('0123456789abcdef', '(i + 100)')}), '')) else '' end"
     body = _digits("length(canon) - 1", "substring(canon, 1, 1)")
     check = f"cast((10 - {_luhn('concat(body, ' + repr('0') + ')')}) % 10 as string)"
     kinds = f"""case kind
         when 'email' then concat(split(shaped, '@')[0], {grown}, '@', regexp_replace(split(shaped, '@')[1], '[^.]+$', ''), regexp_extract(canon, '[^.]+$', 0))
         when 'ip' then array_join(transform(sequence(1, 4), i -> cast({_byte('i')} % 254 + 1 as string)), '.')
-        when 'phone' then concat({country}, {_digits(n, f"cast({_byte('1')} % 8 + 2 as string)")})
+        when 'phone' then concat({country}, {_digits(f"({n} + {more})", f"cast({_byte('1')} % 8 + 2 as string)")})
+        when 'ip6' then concat({hexes}, {group})
         when 'card' then concat(body, case when {_luhn('canon')} = 0 then {check} else {_pick('0123456789', '100')} end)
         when 'ssn' then {_digits('9', f"cast({_byte('1')} % 9 + 1 as string)")}
         when 'iban' then concat(substring(canon, 1, 2), substring(shaped, 3))
@@ -176,7 +213,8 @@ def surrogate(key: str) -> Column:
         when 'name-m' then {_name()}
         when 'name-f' then {_name()}
         else concat(shaped, {grown}) end"""
-    hashed = f"concat(sha2(concat_ws('|', '{key}', kind, canon, cast(attempt as string)), 512), sha2(concat_ws('|', '{key}', kind, canon, cast(attempt as string), 'more'), 512))"
+    message = "concat_ws('|', kind, canon, cast(attempt as string){})"
+    hashed = f"concat({hmac_sql(key, message.format(''))}, {hmac_sql(key, message.format(", 'more'"))})"
     # lambdas over one-element arrays name the steps: hash, shape, card body
     inner = f"element_at(transform(array({_shape('canon')}), shaped -> element_at(transform(array({body}), body -> {kinds}), 1)), 1)"
     return F.expr(f"element_at(transform(array({hashed}), hx -> {inner}), 1)")
@@ -197,14 +235,14 @@ def laid_out() -> Column:
         "then upper(substring(sur, i, 1)) else substring(sur, i, 1) end), '') else sur end"
     )
     return F.expr(
-        f"""case when kind in ('card', 'ssn', 'phone') then element_at(transform(array(regexp_replace(regexp_replace(sur, case when e like '+%' then '^$' else '^[+]1' end, ''), '[^0-9]', '')), ds -> {fill}), 1)
-        when kind = 'iban' then {spaced} when kind = 'email' then {cased}
+        f"""case when kind in ('card', 'ssn', 'phone') then element_at(transform(array(regexp_replace(regexp_replace(sur, case when e like '+%' then '^$' else '^[+]1' end, ''), '[^0-9]', '')), ds -> concat({fill}, substring(ds, length(regexp_replace(e, '[^0-9]', '')) + 1))), 1)
+        when kind = 'iban' then {spaced} when kind in ('email', 'ip6') then {cased}
         when kind like 'name%' then concat(regexp_extract(e, '^(\\\\S+ )', 1), case when e rlike '(^| |[.]|-)\\\\p{{Lu}}[.]' then regexp_replace(initcap(sur), '(?<=^| )(\\\\p{{Lu}})(?= )', '$1.') else initcap(sur) end)
         when kind = 'secret' then concat(substring(e, 1, length(e) - length(canon)), sur) else sur end"""
     )
 
 
-def settle(entities: DataFrame, key: str = KEY, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+def settle(entities: DataFrame, key: str, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """(kind, canon, sur) with distinct surrogates that are no entity themselves. entities: distinct (kind, canon)."""
     real = common.cut(entities)
     now = real.withColumn("attempt", F.lit(0)).withColumn("sur", surrogate(key))
@@ -221,26 +259,30 @@ def settle(entities: DataFrame, key: str = KEY, most_rounds: int = MOST_ROUNDS)
     raise RuntimeError("surrogates did not settle: the space of a kind is too small for its entities")
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, count_col: str | None = None) -> DataFrame:
-    """docs with the text's entities replaced; count_col adds the number of mentions."""
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
+    """docs with the text's entities replaced under a secret key; count_col adds the number of mentions."""
+    if not key:
+        raise ValueError("a secret key is needed")
     names = docs.columns
     rows = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs[text_col].alias("text"))
     has = has_entity(F.col("text"))
-    mine = rows.where(has).select("row", "text", F.md5("text").alias("key"))
+    mine = rows.where(has).select("row", "text", F.sha2("text", 256).alias("key"))
     pattern = F.lit(PATTERN)
     texts = mine.select("key", F.regexp_extract_all("text", pattern, F.lit(0)).alias("found")).groupBy("key").agg(F.first("found").alias("found"))
     mentions = texts.select("key", F.posexplode("found").alias("at", "e"))
     mentions = mentions.withColumn("kind", kind_of(F.col("e")))
     mentions = mentions.withColumn("canon", canon_of(F.col("kind"), F.col("e")))
     mentions = common.written(mentions, "mentions")
-    table = settle(mentions.select("kind", "canon").distinct(), key)
-    placed = mentions.join(table, ["kind", "canon"]).select("key", "at", laid_out().alias("new"))
-    lists = placed.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "new"))).alias("news"))
-    lists = lists.select(F.col("key").alias("text_key"), F.col("news.new").alias("news"))
+    real = mentions.where(F.col("kind") != NO_ENTITY)
+    table = settle(real.select("kind", "canon").distinct(), key)
+    placed = real.join(table, ["kind", "canon"]).select("key", "at", laid_out().alias("new"), F.lit(1).alias("n"))
+    placed = placed.unionByName(mentions.where(F.col("kind") == NO_ENTITY).select("key", "at", F.col("e").alias("new"), F.lit(0).alias("n")))
+    lists = placed.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "new"))).alias("news"), F.sum("n").cast("int").alias("n"))
+    lists = lists.select(F.col("key").alias("text_key"), F.col("news.new").alias("news"), "n")
     joined = mine.join(lists, F.col("key") == F.col("text_key"))
     gaps = F.split("text", PATTERN, -1)
     text = F.array_join(F.zip_with(gaps, F.concat("news", F.array(F.lit(""))), lambda g, s: F.concat(g, s)), "")
-    done = joined.select("row", text.alias("new_text"), F.size("news").alias("n"))
+    done = joined.select("row", text.alias("new_text"), "n")
     plain = rows.where(~has).select("row", F.col("text").alias("new_text"), F.lit(0).alias("n"))
     out = done.unionByName(plain)
     cols = [F.col("new_text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names]

@@ -48,6 +48,16 @@ def test_against_brute_force(spark, length, most):
     assert got == brute(data, length)
 
 
+def test_a_hot_class_is_split_by_longer_keys(spark):
+    rng = random.Random(12)
+    letter = lambda n: "".join(rng.choice("abcdef") for _ in range(n))
+    passage = letter(120)
+    data = [(k, letter(rng.randint(0, 60)) + passage[rng.randint(0, 9) : 120 - rng.randint(0, 9)] + letter(rng.randint(0, 60))) for k in range(120)]
+    df = spark.createDataFrame([*data, data[5]], "doc_id long, text string").repartition(3)
+    got = collections.Counter(tuple(r) for r in substrings.remove_repeats(df, 60, 3).collect())
+    assert got == brute([*data, data[5]], 60)
+
+
 def test_corpus_with_the_production_length(spark):
     got = collections.Counter(tuple(r)[:5] for r in substrings.remove_repeats(frame(spark), with_text=True).collect())
     assert got == brute(rows(), substrings.LENGTH)

@@ -1,10 +1,16 @@
+import hashlib
+import hmac
+import random
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from lumenstep.llm import surrogates
 
+KEY = "a secret"
+
 ROWS = [
     (1, "Mail Bob.Smith@Mail8.Example.com or bob.smith@mail8.example.com now, ip 70.123.182.155.", "a"),
     (2, "call +1 (988) 555-2485 or 988-555-2485, card 4111 1111 1111 1111 = 4111111111111111", "b"),
@@ -28,7 +34,7 @@ def luhn(digits):
 
 def test_replacement(spark):
     df = table(spark)
-    got = surrogates.pseudonymise(df)
+    got = surrogates.pseudonymise(df, KEY)
     assert got.columns == df.columns and got.count() == len(ROWS)
     by = {r["doc_id"]: r["text"] for r in got.collect()}
     assert by[4] is None and by[5] == ROWS[4][1] and by[7] == ""
@@ -45,8 +51,8 @@ def test_replacement(spark):
 
 
 def test_same_key_same_result_other_key_other(spark):
-    a, b = (Counter(r["text"] for r in surrogates.pseudonymise(table(spark)).collect()) for _ in range(2))
-    c = Counter(r["text"] for r in surrogates.pseudonymise(table(spark), key="other").collect())
+    a, b = (Counter(r["text"] for r in surrogates.pseudonymise(table(spark), KEY).collect()) for _ in range(2))
+    c = Counter(r["text"] for r in surrogates.pseudonymise(table(spark), "other").collect())
     assert a == b and a != c
 
 
@@ -54,7 +60,7 @@ def test_collisions_are_settled(spark):
     # one-letter mail boxes of one-letter domains: far more entities than the free surrogates of their first shape
     entities = [("email", f"{a}@{b}.de") for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrst"]
     df = spark.createDataFrame(entities, "kind string, canon string")
-    got = surrogates.settle(df).collect()
+    got = surrogates.settle(df, KEY).collect()
     assert len({r["sur"] for r in got}) == len(entities) and not {r["sur"] for r in got} & {c for _, c in entities}
 
 
@@ -65,8 +71,8 @@ def test_has_entity_is_the_pattern(spark):
 
 
 def test_empty_and_native(spark):
-    assert surrogates.pseudonymise(table(spark, [])).count() == 0
-    plan = surrogates.pseudonymise(table(spark))._jdf.queryExecution().executedPlan().toString()
+    assert surrogates.pseudonymise(table(spark, []), KEY).count() == 0
+    plan = surrogates.pseudonymise(table(spark), KEY)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
@@ -75,7 +81,7 @@ def test_long_secrets_are_whole(spark):
     one, two = head + "x" * 100, head + "y" * 100
     jwt = f"{'eyJh' * 40}.{'eyJz' * 30}.{'Sfl-' * 11}"
     df = spark.createDataFrame([(1, f'token = "{one}" end'), (2, f"token={two}."), (3, f"secret: {jwt}"), (4, "password=" + "Qz9/" * 20_000)], "doc_id long, text string")
-    by = {r["doc_id"]: r["text"] for r in surrogates.pseudonymise(df).collect()}
+    by = {r["doc_id"]: r["text"] for r in surrogates.pseudonymise(df, KEY).collect()}
     a, b = re.match(r'token = "([A-Za-z0-9_]{300})" end$', by[1])[1], re.match(r"token=([A-Za-z0-9_]{300})\.$", by[2])[1]
     assert a != b and a != one and b != two and a[-60:] != one[-60:] and b[-60:] != two[-60:]
     got = by[3].removeprefix("secret: ")
@@ -86,7 +92,7 @@ def test_long_secrets_are_whole(spark):
 def test_whole_names(spark):
     names = ["Mr. John Smith", "Mr John Smith", "Mr John Brown", "Mr J. Smith", "Mr J.R. Smith", "Mr J. R. Smith", "Mrs Mary A. Jones", "Herr Ludwig van Beethoven", "Frau von der Leyen", "Herr Dr. Müller", "г-жа Анна Иванова", "Ms. " + "Al" * 40, "Frau Anna K"]
     df = spark.createDataFrame([(k, f"yesterday {n}, and others. Then") for k, n in enumerate(names)], "doc_id long, text string")
-    by = {r["doc_id"]: r["text"] for r in surrogates.pseudonymise(df).collect()}
+    by = {r["doc_id"]: r["text"] for r in surrogates.pseudonymise(df, KEY).collect()}
     new = [re.match(r"yesterday (\S+) (.+), and others\. Then$", by[k]) for k in range(len(names))]
     for n, m in zip(names, new, strict=True):
         title, old = n.split(" ", 1)
@@ -102,3 +108,69 @@ def test_names_end_with_the_name(spark):
     assert [r[0] for r in found] == [["Mr Smith"], ["Mr Smith", "Mrs Jones Paris"], ["Mr Smith", "Mrs Jones"], ["Mr Smith"], ["Mr Smith"]]
     run = spark.createDataFrame([("Mr" + " Big" * 50_000,)], "text string").select(F.regexp_extract_all("text", F.lit(surrogates.PATTERN), F.lit(0))).first()[0]
     assert [len(x) for x in run] == [2 + 4 * 50_000]
+
+
+def test_the_hash_is_an_hmac(spark):
+    for key in ("k", "é" * 100):
+        got = spark.range(1).select(F.expr(surrogates.hmac_sql(key, "'message ü'"))).first()[0]
+        assert got == hmac.new(key.encode(), "message ü".encode(), hashlib.sha512).hexdigest()
+    with pytest.raises(ValueError):
+        surrogates.pseudonymise(table(spark), "")
+
+
+def test_numbers_are_cards_by_their_luhn_sum(spark):
+    df = spark.createDataFrame([(1, "pay 4111111111111111 now", "x"), (2, "id 4111111111111112 of 5500005555555559.", "y"), (3, "id 1234567890123 only", "z")], "doc_id long, text string, at string")
+    by = {r["doc_id"]: r for r in surrogates.pseudonymise(df, KEY, count_col="n").collect()}
+    assert by[1]["n"] == 1 and "4111111111111111" not in by[1]["text"]
+    assert by[2]["n"] == 1 and by[2]["text"].startswith("id 4111111111111112 of 55") is False and "4111111111111112" in by[2]["text"] and "5500005555555559" not in by[2]["text"]
+    assert (by[3]["n"], by[3]["text"]) == (0, "id 1234567890123 only")
+
+
+def test_more_kinds(spark):
+    rows = [(1, "from 2001:db8::8a2e:370:7334 and 2001:DB8::8a2e:370:7334, fe80:0:0:0:1:2:3:4.", "a"), (2, "Κύριος Παπαδοπουλος και Κυρία Παπαδοπουλου", "b"), (3, "at 12:30:45, std::vector and a::b", "c")]
+    by = {r["doc_id"]: r["text"] for r in surrogates.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string, e string"), KEY).collect()}
+    one, two, six = re.match(r"from (\S+) and (\S+), (\S+)\.$", by[1]).groups()
+    assert one == two.lower() and one != "2001:db8::8a2e:370:7334" and one.count(":") == 5 and six.count(":") == 7 and six != "fe80:0:0:0:1:2:3:4"
+    assert re.match(r"Κύριος [Α-Ω][α-ως]+(ος|ης|ας|ων) και Κυρία [Α-Ω][α-ω]+(α|η|ου|ια)$", by[2]) and "Παπαδοπ" not in by[2]
+    assert by[3] == rows[2][1]
+
+
+def test_a_full_space_of_short_phones_settles(spark):
+    entities = [("phone", f"+1{k:04d}") for k in range(0, 10_000)]
+    got = surrogates.settle(spark.createDataFrame(entities, "kind string, canon string"), KEY).collect()
+    assert len({r["sur"] for r in got}) == len(entities) and not {r["sur"] for r in got} & {c for _, c in entities}
+
+
+def test_no_entity_survives_by_brute_force(spark):
+    rng = random.Random(3)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda: rng.choice(["ana", "bob", "kim", "lee", "max"]) + digits(3)
+
+    def card():
+        body = rng.choice("45") + digits(14)
+        return next(body + c for c in "0123456789" if luhn(body + c))
+
+    makers = [
+        lambda: f"{word()}@{word()}.example.org",
+        lambda: ".".join(str(rng.randint(1, 254)) for _ in range(4)),
+        lambda: f"+1 ({rng.randint(200, 999)}) 555-{digits(4)}",
+        lambda: f"{rng.randint(100, 899)}-{digits(2)}-{digits(4)}",
+        card,
+        lambda: "AKIA" + "".join(rng.choice("ABCDEFGH234567") for _ in range(16)),
+        lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40)),
+        lambda: "Mr. " + "".join(rng.choice("BDFGKLMNPRSTV") + rng.choice("aeiou") for _ in range(4)).title(),
+    ]
+    pool = [(k % len(makers), makers[k % len(makers)]()) for k in range(160)]
+    rows, held = [], []
+    for k in range(200):
+        mine = [rng.choice(pool) for _ in range(rng.randint(0, 4))]
+        held.append(mine)
+        rows.append((k, " then ".join(["so"] + [f'token = "{e}"' if kind == 6 else e for kind, e in mine] + ["end"])))
+    got = {r["doc_id"]: r for r in surrogates.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), KEY, count_col="n").collect()}
+    real = {e.removeprefix("Mr. ") for _, e in pool}
+    new_of, old_of = {}, {}
+    for k, mine in enumerate(held):
+        assert got[k]["n"] == len(mine) and not any(e in got[k]["text"] for e in real), got[k]
+        parts = got[k]["text"].split(" then ")[1:-1]
+        for (_, e), new in zip(mine, parts, strict=True):
+            assert new_of.setdefault(e, new) == new and old_of.setdefault(new, e) == e  # coreference and distinctness
