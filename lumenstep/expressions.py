@@ -24,7 +24,7 @@ CONSTANT = {
     "PRXPOSN": {0, 1}, "PRXPARSE": {0}, "PRXPAREN": {0}, "PUT": {1}, "INPUT": {1}, "CDF": {0}, "PDF": {0}, "SDF": {0}, "LOGCDF": {0}, "QUANTILE": {0}, "PROPCASE": {1}, "DATDIF": {2}, "YRDIF": {2}, "FIND": {1, 2, 3}, "LARGEST": {0}, "SMALLEST": {0},
     "RAND": {0, 1, 2}, "RANUNI": {0}, "RANNOR": {0}, "RANEXP": {0}, "RANBIN": {0, 1, 2},
 }
-TEXT = set("UPCASE LOWCASE TRIM TRIMN STRIP LEFT REVERSE CAT CATS CATT CATX CATQ REPEAT BYTE CHAR SUBSTR SUBSTRN COMPRESS TRANSLATE TRANWRD COMPBL PROPCASE SCAN PRXCHANGE PRXPOSN PUT NLDATE SOUNDEX SYMGET COALESCEC".split())
+TEXT = set("UPCASE LOWCASE TRIM TRIMN STRIP LEFT REVERSE CAT CATS CATT CATX CATQ REPEAT BYTE CHAR SUBSTR SUBSTRN COMPRESS TRANSLATE TRANWRD COMPBL PROPCASE SCAN PRXCHANGE PRXPOSN PUT NLDATE SOUNDEX SYMGET COALESCEC _PREFIX".split())
 
 
 @dataclass
@@ -115,9 +115,9 @@ class Parser:
             op = self.take("=", "^=", "<", ">", "<=", ">=")
             if not op:
                 return out if out is not None else first
-            self.take(":")
+            prefix = self.take(":")
             b = self.join()
-            one = Node("bin", op, (a, b))
+            one = Node("bin", op, (Node("call", "_PREFIX", (a, b)), Node("call", "_PREFIX", (b, a))) if prefix else (a, b))
             out = one if out is None else Node("bin", "&", (out, one))
             a = b
 

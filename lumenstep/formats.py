@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -72,9 +73,14 @@ def roman(x: Column) -> Column:
     return F.when(x.between(1, 3999), out)
 
 
+def _div(n: Column, size: int) -> Column:
+    """The whole part of n / size, in 64-bit arithmetic."""
+    return F.call_function("div", n, F.lit(size).cast("long"))
+
+
 def words(x: Column) -> Column:
-    """English words of a number below a thousand million."""
-    n = F.floor(F.abs(x)).cast("int")
+    """English words of a whole number of at most 64 bits."""
+    n = F.floor(F.abs(x)).cast("long")
     at = lambda items, k: F.element_at(F.array(*[F.lit(i) for i in items]), k + 1)
 
     def under_hundred(k: Column) -> Column:
@@ -86,8 +92,9 @@ def words(x: Column) -> Column:
         return F.when(k >= 100, F.concat(at(_ONES, h), F.lit(" hundred"), F.when(k % 100 > 0, F.concat(F.lit(" "), under_hundred(k % 100))).otherwise(""))).otherwise(under_hundred(k))
 
     parts = []
-    for size, name in ((1_000_000, " million"), (1000, " thousand"), (1, "")):
-        k = (F.floor(n / size) % 1000).cast("int")
+    scales = ("", " thousand", " million", " billion", " trillion", " quadrillion", " quintillion")
+    for power, name in reversed(list(enumerate(scales))):
+        k = (_div(n, 1000**power) % 1000).cast("int")
         parts.append(F.when(k > 0, F.concat(under_thousand(k), F.lit(name))))
     return F.concat(F.when(x < 0, "minus ").otherwise(""), F.when(n == 0, "zero").otherwise(F.concat_ws(" ", *parts)))
 
@@ -196,6 +203,8 @@ def put(x: Column, fmt: str, catalog: Catalog | None = None) -> Column:
         return CHARACTER.get(name, CHARACTER["$"])(F.coalesce(x.cast("string"), F.lit("")), w, d)
     if name in DATES:
         return F.coalesce(DATES[name](x, w, d), F.lit(MISSING))
+    if name not in NUMERIC:
+        warnings.warn(f"the format {name} is unknown; BEST is used", stacklevel=2)
     show = NUMERIC.get(name, NUMERIC["BEST"])
     return F.coalesce(show(x.cast("double"), w, d), _right(F.lit(MISSING), w))
 

@@ -83,6 +83,12 @@ def countc(x, chars: str) -> Column:
     return F.length(text(x)) - F.length(F.translate(text(x), chars, ""))
 
 
+@function("_PREFIX")
+def prefix(x, other) -> Column:
+    """x cut to the length of other without trailing blanks (one side of the prefix comparisons =: and the like)."""
+    return F.substring(text(x), 1, F.greatest(F.lit(1), F.length(F.rtrim(text(other)))))
+
+
 @function("COMPRESS")
 def compress(x, chars: str = " ") -> Column:
     return F.translate(text(x), chars, "")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .relational import key_join
-from .running import cumulate
+from .running import carried, cumulate, lagged, totals
 
 
 def order_of(keys: Sequence[str]) -> list[Column]:
@@ -43,12 +43,16 @@ def first_last(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFr
 
 def running_sum(df: DataFrame, name: str, expr: Column, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Sum statement: a retained total from 0 to which missing adds nothing, per BY group if given."""
-    w = by_window(by, order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.sum(F.coalesce(expr.cast("double"), F.lit(0.0))).over(w))
+    add = F.coalesce(expr.cast("double"), F.lit(0.0))
+    if not by:
+        return cumulate(df, add, order, name)
+    return df.withColumn(name, F.sum(add).over(by_window(by, order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def retain(df: DataFrame, name: str, expr: Column, order: Sequence[str], by: Sequence[str] = (), initial=None) -> DataFrame:
     """RETAIN: the last value that was assigned (null: none) on this or an earlier row."""
+    if not by:
+        return carried(df, expr, order, name).withColumn(name, F.coalesce(name, F.lit(initial)))
     w = by_window(by, order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(name, F.coalesce(F.last(expr, ignorenulls=True).over(w), F.lit(initial)))
 
@@ -57,7 +61,7 @@ def lag(df: DataFrame, name: str, expr: Column, order: Sequence[str], n: int = 1
     """LAGn at one call site: executed on every row, or only where `when` holds (the queue sees those rows alone)."""
     keys = [k.lstrip("-") for k in by]
     if when is None:
-        return df.withColumn(name, F.lag(expr, n).over(by_window(by, order)))
+        return lagged(df, expr, order, name, n) if not by else df.withColumn(name, F.lag(expr, n).over(by_window(by, order)))
     ran = F.coalesce(when, F.lit(False))
     w = Window.partitionBy(*keys, ran).orderBy(*order_of(order))
     return df.withColumn(name, F.when(ran, F.lag(expr, n).over(w)))
@@ -76,7 +80,7 @@ def row_numbers(df: DataFrame, order: Sequence[str], name: str = "_n_", by: Sequ
 
 def flags(df: DataFrame, order: Sequence[str], end: str | None = None, nobs: str | None = None) -> DataFrame:
     """SET END= and NOBS=: last-row flag and total count."""
-    out = row_numbers(df, order, "__n").crossJoin(F.broadcast(df.agg(F.count("*").alias("__all"))))
+    out = totals(df, {"__n": F.lit(1).cast("long")}, order, whole={"__n": "__all"})
     if end:
         out = out.withColumn(end, (F.col("__n") == F.col("__all")).cast("int"))
     if nobs:

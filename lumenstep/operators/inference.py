@@ -46,18 +46,33 @@ def _log_hyper(table: np.ndarray) -> float:
     return sum(map(lf, table.sum(1))) + sum(map(lf, table.sum(0))) - lf(table.sum()) - sum(map(lf, table.ravel()))
 
 
+_log_factorial = np.vectorize(lambda x: math.lgamma(x + 1), otypes=[float])
+
+
+def _log_tables(x: np.ndarray, r1: float, c1: float, n: float) -> np.ndarray:
+    """Log probabilities of the 2x2 tables with x in the first cell and the given margins."""
+    lf = lambda v: math.lgamma(v + 1)
+    margins = lf(r1) + lf(n - r1) + lf(c1) + lf(n - c1) - lf(n)
+    return margins - sum(map(_log_factorial, (x, r1 - x, c1 - x, n - r1 - c1 + x)))
+
+
 def fisher(table: np.ndarray, most_tables: int = 500_000, draws: int = 10_000, seed: int = 20_260) -> dict:
-    """Fisher's exact test: one-sided and two-sided for 2x2; Freeman-Halton enumeration for r x c, Monte Carlo beyond."""
+    """Fisher's exact test: one-sided and two-sided for 2x2; Freeman-Halton enumeration for r x c. Where more than
+    most_tables (the caller's bound) have the margins, `draws` random tables estimate it; DRAWS tells how many were drawn,
+    0 for an exact result."""
     table = np.rint(np.asarray(table))
     p0 = _log_hyper(table)
     if table.shape == (2, 2):
         (a, b), (c, _) = table
         r1, c1, n = a + b, a + c, table.sum()
-        probs = {}
-        for x in range(int(max(0, r1 + c1 - n)), int(min(r1, c1)) + 1):
-            probs[x] = math.exp(_log_hyper(np.array([[x, r1 - x], [c1 - x, n - r1 - c1 + x]])))
-        own = probs[int(a)]
-        return {"LEFT": min(1.0, sum(p for x, p in probs.items() if x <= a)), "RIGHT": min(1.0, sum(p for x, p in probs.items() if x >= a)), "TWO": min(1.0, sum(p for p in probs.values() if p <= own * (1 + 1e-7))), "TABLE": own}
+        low, high = max(0, r1 + c1 - n), min(r1, c1)
+        left = right = two = 0.0
+        own = math.exp(p0)
+        for first in np.arange(low, high + 1, 1_000_000):  # logs of the ratios of neighbours, summed up from the own table
+            x = np.arange(first, min(first + 1_000_000, high + 1))
+            p = np.exp(_log_tables(x, r1, c1, n))
+            left, right, two = left + p[x <= a].sum(), right + p[x >= a].sum(), two + p[p <= own * (1 + 1e-7)].sum()
+        return {"LEFT": min(1.0, float(left)), "RIGHT": min(1.0, float(right)), "TWO": min(1.0, float(two)), "TABLE": own}
     rows, cols = [int(x) for x in table.sum(1)], [int(x) for x in table.sum(0)]
     lf = lambda x: math.lgamma(x + 1)
     base = sum(map(lf, rows)) + sum(map(lf, cols)) - lf(sum(rows))
@@ -75,15 +90,16 @@ def fisher(table: np.ndarray, most_tables: int = 500_000, draws: int = 10_000, s
         return all(fill([a - b for a, b in zip(left, r, strict=True)], k + 1, used + sum(map(lf, r))) for r in _splits(rows[k], left))
 
     if fill(cols, 0, 0.0):
-        return {"TWO": min(1.0, total), "TABLE": math.exp(p0)}
+        return {"TWO": min(1.0, total), "TABLE": math.exp(p0), "DRAWS": 0}
     rng = np.random.default_rng(seed)
-    labels_r, labels_c = np.repeat(np.arange(len(rows)), rows), np.repeat(np.arange(len(cols)), cols)
     hits = 0
-    for _ in range(draws):
-        t = np.zeros(table.shape)
-        np.add.at(t, (labels_r, rng.permutation(labels_c)), 1)
-        hits += _log_hyper(t) <= p0 + 1e-7
-    return {"TWO": hits / draws, "TABLE": math.exp(p0)}
+    for _ in range(draws):  # a row at a time from what the rows before left of the columns
+        left, drawn = np.array(cols, dtype=np.int64), []
+        for k in rows[:-1]:
+            drawn.append(rng.multivariate_hypergeometric(left, k, method="marginals"))
+            left = left - drawn[-1]
+        hits += _log_hyper(np.array([*drawn, left], dtype=float)) <= p0 + 1e-7
+    return {"TWO": hits / draws, "TABLE": math.exp(p0), "DRAWS": draws}
 
 
 def _splits(n: int, most: list[int]):
@@ -176,7 +192,7 @@ def corr(df: DataFrame, var: Sequence[str], with_: Sequence[str] | None = None,
     for a, b in pairs:
         own = df.select(a, b, *partial, *([weight] if weight else [])).na.drop()
         if method == "SPEARMAN":
-            own = rank(rank(own, [a], names=["__ra"]), [b], names=["__rb"])
+            own = rank(own, [a, b], names=["__ra", "__rb"])
             cols = ["__ra", "__rb", *partial]
         else:
             cols = [a, b, *partial]

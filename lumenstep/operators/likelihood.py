@@ -165,7 +165,9 @@ def logistic_ordinal(df: DataFrame, y: str, x: Sequence[str], classes: Sequence[
     """Proportional odds: P(Y <= k) = logistic(a_k + x b), over the collapsed patterns."""
     cols, _ = design(df, x, classes)
     slopes = {k: c for k, c in cols.items() if k != "Intercept"}
-    values = sorted(r[0] for r in df.select(y).where(F.col(y).isNotNull()).distinct().limit(1000).collect())
+    values = sorted(r[0] for r in df.select(y).where(F.col(y).isNotNull()).distinct().limit(1001).collect())
+    if len(values) > 1000:
+        raise ValueError("an ordinal response has at most 1000 levels")
     code = F.lit(None).cast("double")
     for k, v in enumerate(values):
         code = F.when(F.col(y) == F.lit(v), float(k)).otherwise(code)

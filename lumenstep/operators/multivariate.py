@@ -83,7 +83,7 @@ def factor(df: DataFrame, var: Sequence[str], nfactors: int | None = None, rotat
             u = u @ np.diag(np.sqrt(np.diag(np.linalg.inv(u.T @ u))))
             out["correlations"] = np.linalg.inv(u.T @ u)
             load = load @ u
-    out |= {"loadings": load, "communality": (load @ np.linalg.pinv(out["correlations"]) @ load.T if False else load**2).sum(1) if rotate != "PROMAX" else np.diag(load @ out.get("correlations", np.eye(k)) @ load.T), "explained": (load**2).sum(0)}
+    out |= {"loadings": load, "communality": (load**2).sum(1) if rotate != "PROMAX" else np.diag(load @ out.get("correlations", np.eye(k)) @ load.T), "explained": (load**2).sum(0)}
     weights = np.linalg.pinv(r) @ load
     return out, _scores(df, var, means, weights / sd[:, None], "Factor")
 

@@ -42,10 +42,12 @@ def size_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], take: Sequence[str], found: str | None = None, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Keyed lookup (hash object find): one row of table per key, broadcast only under a checked size, else a shuffle
+def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], take: Sequence[str], found: str | None = None, most_bytes: int = BROADCAST_BYTES, order: Sequence[str] = ()) -> DataFrame:
+    """Keyed lookup (hash object find): the first row of table per key (in order, else as read), broadcast only under a checked size, else a shuffle
     join. `found` names a 0/1 column (hash object check)."""
-    small = table.select(*keys, *take).dropDuplicates(list(keys)).withColumn("__hit", F.lit(1))
+    first = F.struct(*order) if order else F.col("__at")
+    rows = table.select("*", F.monotonically_increasing_id().alias("__at")).groupBy(*keys).agg(F.min_by(F.struct(*take, F.lit(1).alias("__hit")), first).alias("__row"))
+    small = rows.select(*keys, *[F.col("__row").getField(c).alias(c) for c in (*take, "__hit")])
     if size_bytes(table) <= most_bytes:
         small = F.broadcast(small)
     out = key_join(df.drop(*[c for c in take if c in df.columns]), small, keys, "left")
@@ -58,16 +60,17 @@ def lookup_all(df: DataFrame, table: DataFrame, keys: Sequence[str], take: Seque
 
 
 def range_lookup(df: DataFrame, x: str, ranges: DataFrame, label: str, low: str = "low", high: str = "high", most_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Label of the range [low, high) that holds x; ranges don't overlap. A small table is broadcast; a large one goes
-    through an ordered union, in which each row takes the last range that began at or before it, within coarse cells
-    of the order that bound each task's window."""
+    """Label of the range [low, high) that holds x, null where none does; ranges don't overlap. A small table is
+    broadcast; a large one is dealt over cells of the order, and rows meet the ranges of their cell."""
     if size_bytes(ranges) <= most_bytes:
         r = F.broadcast(ranges.select(F.col(low).alias("__lo"), F.col(high).alias("__hi"), F.col(label)))
         return df.join(r, (F.col(x) >= F.col("__lo")) & (F.col(x) < F.col("__hi")), "left").drop("__lo", "__hi")
     edges = [row[0] for row in ranges.select(F.explode(F.percentile_approx(low, [k / 64 for k in range(1, 64)]))).distinct().orderBy(F.col("col")).collect()]
-    cell = lambda c: F.aggregate(F.array(*[F.lit(e) for e in edges]), F.lit(0), lambda a, e: a + F.when(c >= e, 1).otherwise(0))
+    cell = lambda c: F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= c)) if edges else F.lit(0)
     r = ranges.select(F.explode(F.sequence(cell(F.col(low)), cell(F.col(high)))).alias("__cell"), F.col(low).alias("__lo"), F.col(high).alias("__hi"), F.col(label))
-    return df.withColumn("__cell", cell(F.col(x))).join(r, ["__cell"], "left").where((F.col(x) >= F.col("__lo")) & (F.col(x) < F.col("__hi")) | F.col("__lo").isNull()).drop("__cell", "__lo", "__hi")
+    r = r.withColumnRenamed("__cell", "__of")
+    holds = (F.col("__cell") == F.col("__of")) & (F.col(x) >= F.col("__lo")) & (F.col(x) < F.col("__hi"))
+    return df.withColumn("__cell", cell(F.col(x))).join(r, holds, "left").drop("__cell", "__of", "__lo", "__hi")
 
 
 def remerge(df: DataFrame, aggs: dict[str, Column], keys: Sequence[str] = ()) -> DataFrame:

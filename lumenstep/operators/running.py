@@ -1,5 +1,10 @@
-"""Running totals without a single task: rows are dealt over value ranges, totalled in each, and offset by the ranges
-before. Ranges are fixed cut points of the first ordering column, so every part of a plan deals alike."""
+"""Running totals, lags and carried values without a single task: rows are dealt over ranges of the order, worked on in
+each, and joined with what the ranges before hand over (a few rows for each range).
+
+Ranges are cut points of the leading order columns that share a direction: approximate quantiles of the first where its
+values are many, else of a bounded sample of all of them, so that a constant first column doesn't end in one task. Their
+number follows the session's shuffle partitions. Every part of a plan deals alike.
+"""
 
 from __future__ import annotations
 
@@ -11,40 +16,103 @@ from pyspark.sql import types as T
 
 CUTS = 63
 SAMPLE = 20_000
+_PLAIN = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
 
+def number_of_cuts(df: DataFrame) -> int:
+    return min(1023, max(CUTS, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1))
 
-def cut_points(df: DataFrame, column: str, cuts: int = CUTS) -> list:
-    """Approximate quantiles of a column; for text, of a bounded sample."""
-    kind = df.schema[column].dataType
-    if isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
-        found = df.agg(F.percentile_approx(column, [k / (cuts + 1) for k in range(1, cuts + 1)], 2000)).first()[0]
-        return sorted(set(found or []))
-    n = df.where(F.col(column).isNotNull()).count()
+
+def cut_points(df: DataFrame, columns: Sequence[str], cuts: int) -> list[tuple]:
+    """Approximate quantiles as tuples of values of the columns, or of the first alone."""
+    first = columns[0]
+    if isinstance(df.schema[first].dataType, _PLAIN):
+        found = df.agg(F.percentile_approx(first, [k / (cuts + 1) for k in range(1, cuts + 1)], 2000)).first()[0]
+        points = sorted(set(found or []))
+        if len(points) > cuts // 2 or len(columns) == 1:
+            return [(p,) for p in points]
+    known = df.where(F.col(first).isNotNull()).select(*columns)
+    n = known.count()
     if not n:
         return []
-    rows = df.where(F.col(column).isNotNull()).select(column).sample(min(1.0, SAMPLE / n), 7).limit(2 * SAMPLE).collect()
-    values = sorted(r[0] for r in rows)
-    return sorted({values[len(values) * k // (cuts + 1)] for k in range(1, cuts + 1)}) if values else []
+    rows = [tuple(r) for r in known.sample(min(1.0, SAMPLE / n), 7).limit(2 * SAMPLE).collect()]
+    rows.sort(key=lambda r: tuple((v is not None, v) for v in r))
+    return sorted({rows[len(rows) * k // (cuts + 1)] for k in range(1, cuts + 1)}, key=lambda r: tuple((v is not None, v) for v in r)) if rows else []
 
 
-def bucket(column: str, kind: T.DataType, cuts: Sequence) -> Column:
-    """How many cut points a value has reached; 0 for missing."""
-    if not cuts:
+def bucket(df: DataFrame, columns: Sequence[str], points: Sequence[tuple]) -> Column:
+    """How many cut points a row has reached; nulls come first."""
+    if not points:
         return F.lit(0)
-    points = F.array(*[F.lit(c).cast(kind) for c in cuts])
-    return F.size(F.filter(points, lambda c: F.coalesce(c <= F.col(column), F.lit(False))))
+    used = columns[: len(points[0])]
+    kinds = [df.schema[c].dataType for c in used]
+    if len(used) == 1:
+        array = F.array(*[F.lit(p[0]).cast(kinds[0]) for p in points])
+        return F.size(F.filter(array, lambda c: F.coalesce(c <= F.col(used[0]), F.lit(False))))
+    row = F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(used)])
+    array = F.array(*[F.struct(*[F.lit(v).cast(t).alias(f"c{k}") for k, (v, t) in enumerate(zip(p, kinds, strict=True))]) for p in points])
+    return F.size(F.filter(array, lambda c: c <= row))
 
 
-def cumulate(df: DataFrame, value: Column, order: Sequence[str], name: str, descending: bool = False, most_in_one: int = 0) -> DataFrame:
-    """df with `name`: the total of value over all rows up to this one, in order (a leading minus is descending)."""
-    first = order[0].lstrip("-")
+def dealt(df: DataFrame, order: Sequence[str], name: str = "__cum_b") -> DataFrame:
+    """df with the number of each row's range, ascending in order."""
     down = order[0].startswith("-")
-    cuts = cut_points(df, first)
-    dealt = df.withColumn("__cum_b", bucket(first, df.schema[first].dataType, cuts)).withColumn("__cum_v", value)
-    by = [F.col(k[1:]).desc_nulls_last() if k.startswith("-") else F.col(k).asc_nulls_first() for k in order]
-    inner = Window.partitionBy("__cum_b").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
-    totals = dealt.groupBy("__cum_b").agg(F.sum("__cum_v").alias("__cum_t"))  # at most one row for each cut point
-    outer = Window.orderBy(F.col("__cum_b").desc() if down else F.col("__cum_b").asc()).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("__cum_b", F.coalesce(F.sum("__cum_t").over(outer), F.lit(0)).alias("__cum_o"))
-    out = dealt.withColumn(name, F.sum("__cum_v").over(inner)).join(F.broadcast(totals), "__cum_b")
-    return out.withColumn(name, F.col(name) + F.col("__cum_o")).drop("__cum_b", "__cum_v", "__cum_o")
+    lead = []
+    for k in order:
+        if k.startswith("-") != down:
+            break
+        lead.append(k.lstrip("-"))
+    b = bucket(df, lead, cut_points(df, lead, number_of_cuts(df)))
+    return df.withColumn(name, -b if down else b)
+
+
+def ordering(order: Sequence[str]) -> list[Column]:
+    return [F.col(k[1:]).desc_nulls_last() if k.startswith("-") else F.col(k).asc_nulls_first() for k in order]
+
+
+def totals(df: DataFrame, values: dict[str, Column], order: Sequence[str], whole: dict[str, str] | None = None) -> DataFrame:
+    """df with, for each name, the total of its value over all rows up to this one, in order (a leading minus is
+    descending), in one pass; whole: {name of a total: name for its sum over all rows}."""
+    parts = dealt(df, order).withColumns({f"__v_{n}": v for n, v in values.items()})
+    inner = Window.partitionBy("__cum_b").orderBy(*ordering(order)).rowsBetween(Window.unboundedPreceding, 0)
+    sums = parts.groupBy("__cum_b").agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in values])  # at most one row a range
+    before = Window.orderBy("__cum_b").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.orderBy("__cum_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = sums.select("__cum_b", *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in values], *[F.sum(f"__t_{n}").over(every).alias(w) for n, w in (whole or {}).items()])
+    out = parts.withColumns({n: F.sum(f"__v_{n}").over(inner) for n in values}).join(F.broadcast(sums), "__cum_b")
+    return out.withColumns({n: F.col(n) + F.col(f"__o_{n}") for n in values}).drop("__cum_b", *[f"__{k}_{n}" for n in values for k in "vo"])
+
+
+def cumulate(df: DataFrame, value: Column, order: Sequence[str], name: str) -> DataFrame:
+    """df with `name`: the total of value over all rows up to this one, in order."""
+    return totals(df, {name: value}, order)
+
+
+def lagged(df: DataFrame, value: Column, order: Sequence[str], name: str, n: int = 1) -> DataFrame:
+    """df with `name`: the value n rows before in order, null for the first n rows. Each range hands its last n rows over."""
+    parts = dealt(df, order).withColumn("__lag_v", value)
+    own = Window.partitionBy("__cum_b")
+    rows = parts.withColumns({"__lag_k": F.row_number().over(own.orderBy(*ordering(order))), "__lag_x": F.lag("__lag_v", n).over(own.orderBy(*ordering(order)))})
+    back = rows.withColumn("__lag_s", F.count("*").over(own)).where(F.col("__lag_k") > F.col("__lag_s") - n)
+    tails = back.groupBy("__cum_b").agg(F.sort_array(F.collect_list(F.struct(F.col("__lag_k").alias("k"), F.col("__lag_v").alias("v")))).alias("t"))
+    # the last n values of all ranges before, nearest last: short ranges pass on what they were given
+    before = Window.orderBy("__cum_b").rowsBetween(Window.unboundedPreceding, -1)
+    handed = tails.select("__cum_b", F.flatten(F.collect_list("t").over(before)).alias("__lag_t"))
+    handed = handed.withColumn("__lag_t", F.slice("__lag_t", F.greatest(F.lit(1), F.size("__lag_t") - n + 1), F.lit(n)))
+    out = rows.join(F.broadcast(handed), "__cum_b")
+    place = F.size("__lag_t") - n + F.col("__lag_k")
+    given = F.when(place >= 1, F.get("__lag_t", (place - 1).cast("int"))["v"])
+    return out.withColumn(name, F.when(F.col("__lag_k") > n, F.col("__lag_x")).otherwise(given)).drop("__cum_b", "__lag_v", "__lag_k", "__lag_x", "__lag_t")
+
+
+def carried(df: DataFrame, value: Column, order: Sequence[str], name: str) -> DataFrame:
+    """df with `name`: the last value that isn't null on this or an earlier row in order."""
+    parts = dealt(df, order).withColumn("__car_v", value)
+    inner = Window.partitionBy("__cum_b").orderBy(*ordering(order)).rowsBetween(Window.unboundedPreceding, 0)
+    rows = parts.withColumn("__car_x", F.last("__car_v", ignorenulls=True).over(inner))
+    numbered = rows.withColumn("__car_k", F.row_number().over(Window.partitionBy("__cum_b").orderBy(*ordering(order))))
+    ends = numbered.groupBy("__cum_b").agg(F.max_by("__car_x", "__car_k").alias("__car_e"))
+    before = Window.orderBy("__cum_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("__cum_b", F.last("__car_e", ignorenulls=True).over(before).alias("__car_o"))
+    out = rows.join(F.broadcast(ends), "__cum_b")
+    return out.withColumn(name, F.coalesce("__car_x", "__car_o")).drop("__cum_b", "__car_v", "__car_x", "__car_o")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distribution import probit
 from .datastep import order_of
-from .running import cumulate
+from .running import totals
 
 
 def sort(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -50,8 +50,7 @@ def rank(df: DataFrame, var: Sequence[str], by: Sequence[str] = (), ties: str =
             total, dense = F.sum("__n").over(part), F.row_number().over(w)
         else:
             way = ["-" + v if descending else v]
-            counted = cumulate(cumulate(counted, F.col("__n"), way, "__hi"), F.lit(1).cast("long"), way, "__dense")
-            counted = counted.crossJoin(F.broadcast(counted.agg(F.sum("__n").alias("__sum"))))
+            counted = totals(counted, {"__hi": F.col("__n"), "__dense": F.lit(1).cast("long")}, way, whole={"__hi": "__sum"})
             high, total, dense = F.col("__hi"), F.col("__sum"), F.col("__dense")
         low = high - F.col("__n") + 1
         by_ties = {"MEAN": (low + high) / 2, "LOW": low, "HIGH": high, "DENSE": dense}

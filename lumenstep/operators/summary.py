@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..stats import dists
-from .running import cumulate
+from .running import totals
 
 QUANTILES = {"P1": 0.01, "P5": 0.05, "P10": 0.1, "P25": 0.25, "Q1": 0.25, "MEDIAN": 0.5, "P50": 0.5, "P75": 0.75, "Q3": 0.75, "P90": 0.9, "P95": 0.95, "P99": 0.99, "QRANGE": None}
 SIMPLE = ("N", "NMISS", "MIN", "MAX", "RANGE", "SUM", "MEAN", "STD", "VAR", "STDERR", "CV", "USS", "CSS", "SKEWNESS", "KURTOSIS", "SUMWGT")
@@ -144,7 +144,7 @@ def definition5(counted: DataFrame, keys: Sequence[str], points: dict[str, float
         run = part.orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
         ranked = counted.withColumns({"__hi": F.sum("__c").over(run), "__n": F.sum("__c").over(part)})
     else:
-        ranked = cumulate(counted, F.col("__c"), ["__x"], "__hi").crossJoin(F.broadcast(counted.agg(F.sum("__c").alias("__n"))))
+        ranked = totals(counted, {"__hi": F.col("__c")}, ["__x"], whole={"__hi": "__n"})
     lo = F.col("__hi") - F.col("__c")
     aggs = []
     for (_, p), name in zip(points.items(), _quantile_names(points), strict=True):
@@ -177,7 +177,7 @@ def freq_one_way(df: DataFrame, v: str, by: Sequence[str] = (), weight: str | No
         run = part.orderBy(F.col(v).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
         out = out.withColumns({"__all": F.sum("COUNT").over(part), "CUM_FREQ": F.sum("COUNT").over(run)})
     else:
-        out = cumulate(out, F.col("COUNT"), [v], "CUM_FREQ").crossJoin(F.broadcast(out.agg(F.sum("COUNT").alias("__all"))))
+        out = totals(out, {"CUM_FREQ": F.col("COUNT")}, [v], whole={"CUM_FREQ": "__all"})
     out = out.withColumns({"PERCENT": 100 * F.col("COUNT") / F.col("__all"), "CUM_PCT": 100 * F.col("CUM_FREQ") / F.col("__all")})
     return out.select(*by, v, "COUNT", "PERCENT", "CUM_FREQ", "CUM_PCT").orderBy(*by, v)
 

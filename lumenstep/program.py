@@ -27,7 +27,7 @@ from .operators import relational as Q
 from .operators import sorting as S
 from .operators import summary as U
 from .operators.matrix import Matrix
-from .operators.running import cumulate
+from .operators.running import carried, cumulate
 from .session import Session
 from .values import with_metadata
 
@@ -1010,9 +1010,8 @@ class Step:
         if follows:
             self.reset = {**getattr(self, "reset", {}), name.lower(): (guard, c)}
             return
-        w = Window.orderBy(F.col("__o")).rowsBetween(Window.unboundedPreceding, 0)
         own = F.when(guard, c) if guard is not None else c
-        self.df = self.df.withColumn(name, F.coalesce(F.last(own, ignorenulls=True).over(w), F.lit(start)))
+        self.df = carried(self.df, own, ["__o"], name).withColumn(name, F.coalesce(name, F.lit(start)))
 
     def running(self, name: str, text: str, guard: Column | None) -> None:
         """Sum statement; a reset under FIRST.x makes it a total within that BY prefix."""
