@@ -35,9 +35,42 @@ def rewrite(sql: str) -> str:
     s = re.sub(rf"(?i){operand}\s+(not\s+)?(?:sounds\s+like|=\*)\s*{operand}", lambda m: f"({m[2] or ''}step_soundex({m[1]}) = step_soundex({m[3]}))", s)
     s = re.sub(rf"{operand}\s*\*\*\s*{operand}", r"pow(\1, \2)", s)
     s = _calculated(s)
+    for name, show in _SPELLED.items():
+        s = _calls(s, name, show)
     return re.sub(r" ?\x01(\d+)\x01 ?", lambda m: " " + kept[int(m[1])] + " ", s)
 
 
+def _calls(s: str, name: str, show) -> str:
+    """Calls of a function replaced by show(its arguments); None leaves one alone."""
+    for m in reversed(list(re.finditer(rf"(?i)(?<![\w.]){name}\s*\(", s))):
+        depth, end = 1, m.end()
+        while end < len(s) and depth:
+            depth += (s[end] == "(") - (s[end] == ")")
+            end += 1
+        new = show([x.strip() for x in _select_items(s[m.end() : end - 1])])
+        if new is not None:
+            s = s[: m.start()] + new + s[end:]
+    return s
+
+
+def _rounded(args: list[str]) -> str | None:
+    """ROUND to a fractional unit, such as round(x, 0.01): the nearest multiple of the unit."""
+    if len(args) != 2 or not re.fullmatch(r"0?\.\d+", args[1]):
+        return None
+    return f"(round(({args[0]}) / {args[1]}D, 0) / {round(1 / float(args[1]), 9)!r}D)"
+
+
+#: Calls that Spark spells in another way; one argument each but for ROUND.
+_SPELLED = {
+    "round": _rounded,
+    "var": lambda a: f"var_samp({a[0]})" if len(a) == 1 else None,
+    "range": lambda a: f"(max({a[0]}) - min({a[0]}))" if len(a) == 1 else None,
+    "nmiss": lambda a: f"count_if(({a[0]}) is null)" if len(a) == 1 else None,
+    "css": lambda a: f"(regr_sxx({a[0]}, {a[0]}))" if len(a) == 1 else None,
+    "uss": lambda a: f"sum(({a[0]}) * ({a[0]}))" if len(a) == 1 else None,
+}
+
+
 def _select_items(text: str) -> list[str]:
     out, depth, now = [], 0, ""
     for c in text:

@@ -3,7 +3,7 @@
 import pytest
 from harness import DATA, check
 
-from lumenstep.plans import catalog, datastep_queries, function_queries, proc_queries, relational_queries  # noqa: F401
+from lumenstep.plans import catalog, datastep_queries, family_queries, function_queries, proc_queries, relational_queries  # noqa: F401
 
 EMPTY = {"sql_group_having"}
 
