@@ -68,9 +68,13 @@ def beta_i(a: float, b: float, x: float) -> float:
         return 0.0
     if x >= 1:
         return 1.0
+    # where both sides are at the border by rounding, either fraction converges
+    return 1 - _beta_fraction(b, a, 1 - x) if x >= (a + 1) / (a + b + 2) else _beta_fraction(a, b, x)
+
+
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    """The continued fraction of the incomplete beta function, which converges fast below (a + 1) / (a + b + 2)."""
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    if x >= (a + 1) / (a + b + 2):
-        return 1 - beta_i(b, a, 1 - x)
     c, d = 1.0, 1 - (a + b) * x / (a + 1)
     d = 1 / (d if abs(d) > _TINY else _TINY)
     h = d

@@ -78,3 +78,14 @@ def test_prefix_comparison(spark):
     p = Program(spark)
     p.run("data work.a; input name $ n; datalines;\nANNA 1\nAndrew 2\nAn 3\nBob 4\n;\nrun; data work.b; set work.a; where name =: 'An'; run;")
     assert sorted(r["name"] for r in p.session.table("work.b").collect()) == ["An", "Andrew"]
+
+
+def test_incomplete_beta_at_the_border():
+    from lumenstep.stats import dists
+
+    for a in (0.5, 1.0, 2.5, 8.0):
+        for b in (0.5, 1.0, 2.5, 8.0):
+            edge = (a + 1) / (a + b + 2)
+            for x in (edge, np.nextafter(edge, 0), np.nextafter(edge, 1), 1 - edge):
+                assert abs(dists.beta_i(a, b, float(x)) + dists.beta_i(b, a, 1 - float(x)) - 1) < 1e-12
+    assert all(abs(dists.beta_i(0.5, 0.5, k / 1000) - 2 / np.pi * np.arcsin(np.sqrt(k / 1000))) < 1e-12 for k in range(1, 1000))
