@@ -54,15 +54,20 @@ def bucket(df: DataFrame, columns: Sequence[str], points: Sequence[tuple]) -> Co
     return F.size(F.filter(array, lambda c: c <= row))
 
 
-def dealt(df: DataFrame, order: Sequence[str], name: str = "__cum_b") -> DataFrame:
-    """df with the number of each row's range, ascending in order."""
+def dealt(df: DataFrame, order: Sequence[str], name: str = "__cum_b", source: DataFrame | None = None) -> DataFrame:
+    """df with the number of each row's range, ascending in order. source: rows with the same columns that are cheaper to
+    read than df, such as those df counts; used where their quantiles are not tied."""
     down = order[0].startswith("-")
     lead = []
     for k in order:
         if k.startswith("-") != down:
             break
         lead.append(k.lstrip("-"))
-    b = bucket(df, lead, cut_points(df, lead, number_of_cuts(df)))
+    cuts = number_of_cuts(df)
+    points = cut_points(source, lead[:1], cuts) if source is not None else []
+    if len(points) <= cuts // 2:
+        points = cut_points(df, lead, cuts)
+    b = bucket(df, lead, points)
     return df.withColumn(name, -b if down else b)
 
 
@@ -70,10 +75,10 @@ def ordering(order: Sequence[str]) -> list[Column]:
     return [F.col(k[1:]).desc_nulls_last() if k.startswith("-") else F.col(k).asc_nulls_first() for k in order]
 
 
-def totals(df: DataFrame, values: dict[str, Column], order: Sequence[str], whole: dict[str, str] | None = None) -> DataFrame:
+def totals(df: DataFrame, values: dict[str, Column], order: Sequence[str], whole: dict[str, str] | None = None, source: DataFrame | None = None) -> DataFrame:
     """df with, for each name, the total of its value over all rows up to this one, in order (a leading minus is
     descending), in one pass; whole: {name of a total: name for its sum over all rows}."""
-    parts = dealt(df, order).withColumns({f"__v_{n}": v for n, v in values.items()})
+    parts = dealt(df, order, source=source).withColumns({f"__v_{n}": v for n, v in values.items()})
     inner = Window.partitionBy("__cum_b").orderBy(*ordering(order)).rowsBetween(Window.unboundedPreceding, 0)
     sums = parts.groupBy("__cum_b").agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in values])  # at most one row a range
     before = Window.orderBy("__cum_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -50,7 +50,7 @@ def rank(df: DataFrame, var: Sequence[str], by: Sequence[str] = (), ties: str =
             total, dense = F.sum("__n").over(part), F.row_number().over(w)
         else:
             way = ["-" + v if descending else v]
-            counted = totals(counted, {"__hi": F.col("__n"), "__dense": F.lit(1).cast("long")}, way, whole={"__hi": "__sum"})
+            counted = totals(counted, {"__hi": F.col("__n"), "__dense": F.lit(1).cast("long")}, way, whole={"__hi": "__sum"}, source=df.select(v))
             high, total, dense = F.col("__hi"), F.col("__sum"), F.col("__dense")
         low = high - F.col("__n") + 1
         by_ties = {"MEAN": (low + high) / 2, "LOW": low, "HIGH": high, "DENSE": dense}

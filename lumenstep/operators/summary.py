@@ -123,13 +123,24 @@ def means(df: DataFrame, var: Sequence[str], stats: Sequence[str] = ("N", "MEAN"
 def grouped_quantiles(df: DataFrame, v: str, points: dict[str, float], by: Sequence[str], classes: Sequence[str], sets: Sequence[Sequence[str]]) -> DataFrame:
     """Definition-5 quantiles of v for every class set: (keys..., __set, q_<name>).
 
-    Values are counted per group first (combined before the shuffle); ranks are running counts over distinct values."""
+    Values are counted once for the finest keys (combined before the shuffle); the counts of all other sets are added up
+    from those in one pass. Ranks are running counts over distinct values, for the set without keys over value ranges."""
+    x = F.col(v).cast("double").alias("__x")
+    finest = df.where(F.col(v).isNotNull()).groupBy(*by, *classes, x).agg(F.count("*").alias("__c"))
     parts = []
-    for n, s in enumerate(sets):
-        own = [*by, *s]
-        counted = df.where(F.col(v).isNotNull()).groupBy(*own, F.col(v).cast("double").alias("__x")).agg(F.count("*").alias("__c"))
-        missing = [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in classes if c not in s]
-        parts.append(definition5(counted, own, points).select(*own, *missing, F.lit(n).alias("__set"), *_quantile_names(points)))
+    keyed = [n for n, s in enumerate(sets) if by or s]
+    if keyed:
+        none = {c: F.lit(None).cast(df.schema[c].dataType) for c in classes}
+        of_set = [F.struct(F.lit(n).alias("__set"), *[(F.col(c) if c in sets[n] else none[c]).alias(c) for c in classes]) for n in keyed]
+        rows = finest.select(*by, "__x", "__c", F.explode(F.array(*of_set)).alias("__s")).select(*by, "__x", "__c", "__s.*")
+        keys = ["__set", *by, *classes]
+        counted = rows.groupBy(*keys, "__x").agg(F.sum("__c").alias("__c"))
+        parts.append(definition5(counted, keys, points).select(*by, *classes, "__set", *_quantile_names(points)))
+    for n in range(len(sets)):
+        if n not in keyed:
+            counted = finest.groupBy("__x").agg(F.sum("__c").alias("__c"))
+            missing = [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in classes]
+            parts.append(definition5(counted, [], points, source=df.select(x)).select(*missing, F.lit(n).alias("__set"), *_quantile_names(points)))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -137,14 +148,14 @@ def _quantile_names(points: dict[str, float]) -> list[str]:
     return [p if p.startswith("__") else f"q_{p}" for p in points]
 
 
-def definition5(counted: DataFrame, keys: Sequence[str], points: dict[str, float], weight: str | None = None) -> DataFrame:
+def definition5(counted: DataFrame, keys: Sequence[str], points: dict[str, float], weight: str | None = None, source: DataFrame | None = None) -> DataFrame:
     """Quantiles of (keys, __x, __c): with np whole the mean of values np and np + 1, else the value floor(np) + 1."""
     if keys:
         part = Window.partitionBy(*keys)
         run = part.orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
         ranked = counted.withColumns({"__hi": F.sum("__c").over(run), "__n": F.sum("__c").over(part)})
     else:
-        ranked = totals(counted, {"__hi": F.col("__c")}, ["__x"], whole={"__hi": "__n"})
+        ranked = totals(counted, {"__hi": F.col("__c")}, ["__x"], whole={"__hi": "__n"}, source=source)
     lo = F.col("__hi") - F.col("__c")
     aggs = []
     for (_, p), name in zip(points.items(), _quantile_names(points), strict=True):
