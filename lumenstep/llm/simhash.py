@@ -12,8 +12,9 @@ is the other fingerprint's step up). Candidates of a cell are verified by exact
 only true links leave it. Links are made between distinct fingerprints only; copies never meet.
 
 Components: alternating large-star and small-star rounds on the links, each round checkpointed in the shared folder,
-until the star forest is stable. No join here broadcasts a side: links and fingerprints grow with the input, so the
-driver holds nothing of them at any size.
+until the star forest is stable. No join here broadcasts a side: links and fingerprints grow with the input. The driver
+is handed the hubs of a round only, nodes with over 1/256 of all links (fewer than 256 at either end, by counting), whose
+links are dealt over many tasks; components with so many fingerprints likewise.
 
 Defined cases: null ids are never a component's id (a component of null ids only has a null id); repeated rows keep
 their rows; extra columns are ignored; an empty table gives an empty result.
@@ -35,6 +36,8 @@ from . import common
 SEED = 42
 SHINGLE = 3
 MAX_BITS = 3
+#: A node with over 1 / SHARES of the links is a hub; its links are dealt over SHARES parts.
+SHARES = 256
 _EVEN_BITS = 0x55555555
 _HALF = 0xFFFFFFFF
 
@@ -111,21 +114,23 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) of every node of an edge (a, b): root is the smallest node of its component.
+    """(node, root) of every node of an edge (a, b), both 64-bit integers: root is the smallest node of its component.
 
-    Large-star and small-star alternate; each pass is two aggregations and joins on the node, whose partial minimum is
-    combined before the shuffle, so a hub of many links is one row for each map task."""
+    Large-star and small-star alternate on edges (u, v), u > v. Large-star takes u to the smallest neighbour of v, small-star
+    the neighbours v of u and u itself to the smallest of them. Minima are combined before the shuffle, and the joins deal
+    the edges of hubs over many tasks."""
     now = common.cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     mark = _mark(now)
     for _ in range(max_rounds):
         if mark[0] == 0:
             break
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        hubs = _hubs(now, ("u", "v"), mark[0])
+        low = now.groupBy("u").agg(F.min("v").alias("m"))
+        large = _dealt_join(now, low.select(F.col("u").alias("v"), "m"), "v", hubs["v"]).select("u", F.coalesce("m", "v").alias("v")).distinct()
+        # u has no more neighbours in large than in now, so its hubs are among those of now
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        now = common.cut(small)
+        moved = _dealt_join(large, low, "u", hubs["u"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = common.cut(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         after = _mark(now)
         if after == mark:
             break
@@ -136,6 +141,25 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def _hubs(rows: DataFrame, names: tuple[str, ...], total: int) -> dict[str, list[int]]:
+    """For each named column its values with over total / SHARES of the total rows: fewer than SHARES by counting."""
+    ends = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("node")) for c in names])).alias("end"))
+    often = ends.groupBy("end.side", "end.node").count().where(F.col("count") * SHARES > total).collect()
+    return {c: sorted(r["node"] for r in often if r["side"] == c) for c in names}
+
+
+def _dealt_join(rows: DataFrame, per_key: DataFrame, key: str, hubs: list[int]) -> DataFrame:
+    """rows left-joined with per_key (at most one row for a key); rows of the hubs are dealt over SHARES parts each, for
+    which the hub's one row is repeated."""
+    if not hubs:
+        return rows.join(per_key.hint("merge"), key, "left")
+    hub = F.col(key).isin(hubs)
+    share = F.when(hub, F.pmod(F.xxhash64(*rows.columns), F.lit(SHARES).cast("long"))).otherwise(F.lit(0).cast("long"))
+    shares = F.when(hub, F.expr(f"sequence(0L, {SHARES - 1}L)")).otherwise(F.expr("array(0L)"))
+    copies = per_key.withColumn("_share", F.explode(shares))
+    return rows.withColumn("_share", share).join(copies.hint("merge"), [key, "_share"], "left").drop("_share")
+
+
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return tuple(row)
@@ -148,7 +172,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links(known.select("fp"), max_bits))
     classed = known.join(roots.hint("merge"), known["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     ids = classed.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_print = classed.join(ids.hint("merge"), "root").select(F.col("fp").alias("known_fp"), "component_id")
+    hubs = _hubs(roots, ("root",), roots.count())["root"]
+    by_print = _dealt_join(classed, ids, "root", hubs).select(F.col("fp").alias("known_fp"), "component_id")
     return prints.join(by_print.hint("merge"), prints["fp"] == by_print["known_fp"]).select("doc_id", "fp", "component_id")
 
 

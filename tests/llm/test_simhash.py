@@ -62,6 +62,30 @@ def test_components_of_a_chain_and_a_hub(spark):
     assert all(got[k] == 0 for k in range(51)) and all(got[k] == 1000 for k in range(1000, 1200))
 
 
+def test_components_with_hubs_at_both_ends(spark):
+    """Hubs that are the least, the greatest and a middle node of their links, beside many nodes of few links."""
+    rng = np.random.default_rng(5)
+    pairs = [(0, k) for k in range(10, 400)] + [(9000, k) for k in range(700, 1000)] + [(2000, k) for k in range(1800, 2200) if k != 2000]
+    pairs += [tuple(map(int, p)) for p in rng.integers(3000, 9000, (1500, 2))]
+    root = {}
+
+    def find(k):
+        root.setdefault(k, k)
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    linked = {k for a, b in pairs if a != b for k in (a, b)}
+    assert got == {k: find(k) for k in linked}
+    edges = spark.createDataFrame(pairs, "u long, v long")
+    hubs = simhash._hubs(edges, ("u", "v"), len(pairs))
+    assert hubs["u"] == [0, 2000, 9000] and hubs["v"] == []
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
