@@ -79,7 +79,9 @@ _CHOOSE = "exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1))"
   round(exp(-z * z / 2) / sqrt(2 * pi()), 9) AS dn, round(exp(-x / 2) * (1 + x / 2), 9) AS sf, round(ln(1 - exp(-x / 2) * (1 + x / 2)), 7) AS lc, round(0.5 + z / (2 * sqrt(2 + z * z)), 9) AS cd, round(z, 6) AS back
   FROM (SELECT c_custkey, round((c_acctbal - 4500) / 3000, 4) AS z, round(abs(c_acctbal) / 2000, 4) + 0.1 AS x, (c_custkey % 97 + 1) / 99.0::DOUBLE AS p FROM customer)""")
 def _probabilities(spark, d):
-    z, x, p = F.round((F.col("c_acctbal") - 4500) / 3000, 4), F.round(F.abs("c_acctbal") / 2000, 4) + 0.1, (F.col("c_custkey") % 97 + 1) / 99.0
+    # four decimals by binary arithmetic, as the statement's ROUND has them: decimal rounding differs on ties
+    four_places = lambda v: F.signum(v) * F.floor(F.abs(v) * 10000 + 0.5) / 10000
+    z, x, p = four_places((F.col("c_acctbal") - 4500) / 3000), four_places(F.abs("c_acctbal") / 2000) + 0.1, (F.col("c_custkey") % 97 + 1) / 99.0
     c = t(spark, d, "customer").select("c_custkey", z.alias("z"), x.alias("x"), p.alias("p"))
     two, four = F.lit(2.0), F.lit(4.0)
     found = {
