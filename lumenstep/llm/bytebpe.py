@@ -7,7 +7,7 @@ pre-tokens of one, whose number `blocks.buckets_of` keeps bounded by raising the
 
 Decoding joins the ids of each distinct pre-token with the token-byte table (one row an id, so bounded by the
 vocabulary), `decoded` as a vector take over Arrow arrays, `decode` as a join of the exploded ids of a DataFrame, and
-reassembles by position. See `blocks` for the packing: the shuffles carry each distinct pre-token of a block, not each
+reassembles by position. What a task holds of a block's distinct pre-tokens (ids, bytes, decimal ids) is a few buffers. See `blocks` for the packing: the shuffles carry each distinct pre-token of a block, not each
 occurrence, and a very frequent one is one entry for each block.
 
 Defined cases: null is an empty text (0 tokens, digests of the empty string); repeated rows are encoded alike; an empty
@@ -30,6 +30,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from . import blocks, common
 
+#: Ids in a batch of results after which it is handed on.
+BATCH_IDS = 1_000_000
+
 
 class Codec:
     """Ranks of one vocabulary file: lines of a base64 token and its rank."""
@@ -42,6 +45,7 @@ class Codec:
         for token, rank in self.ranks.items():
             table[rank] = token
         self.table = pa.array(table, pa.large_binary())  # the token-byte table: row k is the bytes of id k
+        self.names = pa.array([b"%d," % k for k in range(size)], pa.large_binary())
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one pre-token."""
@@ -106,13 +110,34 @@ class Codec:
 
     def decoded(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         """The bytes of rows of ids (row after row, of the sizes): ids join the token-byte table, rows are cut by length."""
-        rows = self.table.take(pa.array(ids, pa.int32()))
-        if rows.null_count:
-            raise ValueError("an id is not in the token-byte table")
-        length = np.concatenate(([0], np.cumsum(np.asarray(pa.compute.binary_length(rows), dtype=np.int64))))
-        ends = length[np.cumsum(sizes)].tolist() if len(sizes) else []
-        flat = b"".join(rows.to_pylist())
-        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return self.plain(ids, sizes).to_pylist()
+
+    def plain(self, ids: np.ndarray, sizes: np.ndarray) -> pa.LargeBinaryArray:
+        """The same as an array."""
+        return _rows_of(self.table, ids, sizes)
+
+    def shown(self, ids: np.ndarray, sizes: np.ndarray) -> pa.LargeBinaryArray:
+        """The decimal ids of rows of ids, a comma after each."""
+        return _rows_of(self.names, ids, sizes)
+
+
+def _rows_of(table: pa.LargeBinaryArray, ids: np.ndarray, sizes: np.ndarray) -> pa.LargeBinaryArray:
+    """The entries of table at ids, those of a row joined. One buffer for all rows, no object for each."""
+    found = table.take(pa.array(ids, pa.int64()))
+    if found.null_count:
+        raise ValueError("an id is not in the token-byte table")
+    _, offsets, data = found.buffers()
+    edges = np.frombuffer(offsets, dtype=np.int64, count=len(found) + 1) if len(found) else np.zeros(1, dtype=np.int64)
+    cuts = edges[np.concatenate(([0], np.cumsum(sizes)))]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(cuts), data if len(found) else pa.py_buffer(b"")])
+
+
+def _joined(rows: pa.LargeBinaryArray, places: pa.Array) -> memoryview:
+    """The bytes of the rows at places, one after the other."""
+    if not len(places):
+        return memoryview(b"")
+    _, offsets, data = rows.take(places).buffers()
+    return memoryview(data)[: int(np.frombuffer(offsets, dtype=np.int64, count=len(places) + 1)[-1])]
 
 
 _codecs: dict[str, Codec] = {}
@@ -209,25 +234,24 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = (),
                 ids_of.append(found)
             none = np.zeros(0, dtype=np.int64)
             count, flat = (np.concatenate([none, *x]) for x in (sizes_of, ids_of))
-            plain = own.decoded(flat, count)
-            names, ends = list(map(str, flat.tolist())), np.cumsum(count).tolist()
-            shown = [",".join(names[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+            plain, shown = own.plain(flat, count), own.shown(flat, count)
             flat = flat.astype(np.int32)
             first = np.cumsum(count) - count
-            at, out, lists = 0, [], []
+            at, out, lists, held = 0, [], [], 0
             for row in rows:
                 mine = stream[at : at + row[-1]]
                 at += row[-1]
-                places = mine.tolist()
-                decoded = b"".join(map(plain.__getitem__, places))
-                joined = ",".join(map(shown.__getitem__, places))
+                places = pa.array(mine, pa.int64())
                 sizes = count[mine]
-                out.append([*row[:-1], int(sizes.sum()), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()])
+                size = int(sizes.sum())
+                ids_digest = hashlib.sha256(_joined(shown, places)[:-1]).hexdigest()
+                out.append([*row[:-1], size, ids_digest, hashlib.sha256(_joined(plain, places)).hexdigest()])
                 if with_ids:
-                    lists.append(flat[np.repeat(first[mine] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())])
-                if len(out) == 500:
+                    lists.append(flat[np.repeat(first[mine] - (np.cumsum(sizes) - sizes), sizes) + np.arange(size)])
+                    held += size
+                if len(out) == 500 or held >= BATCH_IDS:
                     yield batch_of(out, lists)
-                    out, lists = [], []
+                    out, lists, held = [], [], 0
             if out:
                 yield batch_of(out, lists)
 

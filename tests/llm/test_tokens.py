@@ -124,3 +124,38 @@ def test_decoding_joins_the_token_table(spark, encoding):
     df = spark.createDataFrame([*((k, encoding.encode_ordinary(t)) for k, t in enumerate(texts)), (9, None), (1, encoding.encode_ordinary(texts[1]))], "doc_id long, ids array<int>")
     got = Counter((r["doc_id"], bytes(r["decoded"])) for r in bytebpe.decode(df, BPE).collect())
     assert got == Counter([*((k, t.encode()) for k, t in enumerate(texts)), (9, b""), (1, texts[1].encode())])
+
+
+def test_reassembly_holds_no_object_for_each_pre_token(spark, encoding, monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from lumenstep.llm import blocks
+
+    grabbed = []
+    monkeypatch.setattr(blocks, "gather", lambda *a: type("Frame", (), {"mapInArrow": lambda self, f, schema: grabbed.append(f)})())
+    bytebpe.encode(spark.createDataFrame([], "doc_id long, text string"), BPE, public_tokenizers.PATTERN, with_ids=True)
+    words = [b" %dw" % (k * 7919) for k in range(40_000)]
+    block = blocks.Block()
+    block.add((5,), words, False, 1)
+    block.add((6,), [], False, 1)
+    one, found = block.pack(1)
+    _, _, mark = blocks.pickle.loads(found)[0]
+    ids = [encoding.encode_ordinary(w.decode()) for w in sorted(words)]
+    answer = blocks.pickle.dumps((blocks.pack_numbers(np.array([len(x) for x in ids])), blocks.pack_numbers(np.array([i for x in ids for i in x]))))
+    kind = pa.list_(pa.struct([("bucket", pa.int32()), ("mark", pa.binary()), ("answer", pa.binary())]))
+    cols = [pa.array(["0-0"]), pa.array([one], pa.binary()), pa.array([[{"bucket": 0, "mark": mark, "answer": answer}]], kind)]
+    batch = pa.RecordBatch.from_arrays(cols, ["block", "pack", "answers"])
+    del found, ids
+    list(grabbed[0](iter([batch])))  # the vocabulary is kept
+    tracemalloc.start()
+    out = list(grabbed[0](iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    text = b"".join(words)
+    want = [i for w in words for i in encoding.encode_ordinary(w.decode())]
+    assert out[0].column(4).to_pylist() == [want, []]
+    assert out[0].column(2)[0].as_py() == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
+    assert out[0].column(3).to_pylist() == [hashlib.sha256(x).hexdigest() for x in (text, b"")]
+    assert most < 450 * len(words)
