@@ -377,19 +377,19 @@ def normality(df: DataFrame, v: str) -> DataFrame:
     f = batch(lambda z: min(1 - 1e-16, max(1e-300, dists.norm_cdf(z))), (F.col("x") - s["m"]) / s["s"])
     c = c.withColumn("f", f).withColumn("lo", F.col("hi") - F.col("c"))
     # sums over the tied ranks lo + 1 .. hi
-    k, lo, hi = F.col("c"), F.col("lo"), F.col("hi")
-    mid = (hi * hi - lo * lo).cast("double")  # sum of 2 i - 1
-    half = (hi * (2 * hi - 1) * (2 * hi + 1) - lo * (2 * lo - 1) * (2 * lo + 1)) / 3.0  # sum of (2 i - 1)^2
+    k, lo, hi = F.col("c").cast("double"), F.col("lo").cast("double"), F.col("hi").cast("double")
+    middle = lo + hi  # mean of 2 i - 1; the mean square is larger by (c^2 - 1) / 3
     row = c.agg(
         F.max(F.greatest(hi / n - F.col("f"), F.col("f") - lo / n)).alias("d"),
-        F.sum(k * F.col("f") * F.col("f") - F.col("f") * mid / n + half / (4.0 * n * n)).alias("w"),
-        F.sum(mid * F.ln("f") + (2 * n * k - mid) * F.ln(1 - F.col("f"))).alias("a"),
+        F.sum(k * (F.pow(F.col("f") - middle / (2.0 * n), F.lit(2.0)) + (k * k - 1) / (12.0 * n * n))).alias("w"),
+        F.sum(k * (middle * F.ln("f") + (2.0 * n - middle) * F.ln(1 - F.col("f")))).alias("a"),
     ).first()
     d, w2, a2 = row["d"], row["w"] + 1 / (12 * n), -n - row["a"] / n
     w_mod, a_mod = w2 * (1 + 0.5 / n), a2 * (1 + 0.75 / n + 2.25 / n**2)
-    # Stephens' p-value curves for the fitted normal.
-    pa = 1 - math.exp(-13.436 + 101.14 * a_mod - 223.73 * a_mod**2) if a_mod < 0.2 else 1 - math.exp(-8.318 + 42.796 * a_mod - 59.938 * a_mod**2) if a_mod < 0.34 else math.exp(0.9177 - 4.279 * a_mod - 1.38 * a_mod**2) if a_mod < 0.6 else math.exp(1.2937 - 5.709 * a_mod + 0.0186 * a_mod**2)
-    pw = 1 - math.exp(-13.953 + 775.5 * w_mod - 12542.61 * w_mod**2) if w_mod < 0.0275 else 1 - math.exp(-5.903 + 179.546 * w_mod - 1515.29 * w_mod**2) if w_mod < 0.051 else math.exp(0.886 - 31.62 * w_mod + 10.897 * w_mod**2) if w_mod < 0.092 else math.exp(1.111 - 34.242 * w_mod + 12.832 * w_mod**2)
+    # Stephens' p-value curves for the fitted normal. The last pieces are parabolas, which rise again beyond
+    # the statistics they were fitted to (and overflow); from there on p is 0, as everything under the border's value.
+    pa = 1 - math.exp(-13.436 + 101.14 * a_mod - 223.73 * a_mod**2) if a_mod < 0.2 else 1 - math.exp(-8.318 + 42.796 * a_mod - 59.938 * a_mod**2) if a_mod < 0.34 else math.exp(0.9177 - 4.279 * a_mod - 1.38 * a_mod**2) if a_mod < 0.6 else math.exp(1.2937 - 5.709 * a_mod + 0.0186 * a_mod**2) if a_mod < 13 else 0.0
+    pw = 1 - math.exp(-13.953 + 775.5 * w_mod - 12542.61 * w_mod**2) if w_mod < 0.0275 else 1 - math.exp(-5.903 + 179.546 * w_mod - 1515.29 * w_mod**2) if w_mod < 0.051 else math.exp(0.886 - 31.62 * w_mod + 10.897 * w_mod**2) if w_mod < 0.092 else math.exp(1.111 - 34.242 * w_mod + 12.832 * w_mod**2) if w_mod < 1.1 else 0.0
     return frame(df, {"N": n, "D": d, "W2": w2, "A2": a2, "P_W2": min(1.0, max(0.0, pw)), "P_A2": min(1.0, max(0.0, pa))})
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lumenstep import formats
 from lumenstep.operators import datastep, inference, multivariate, relational, running
+from lumenstep.stats import dists
 
 
 def test_range_lookup_keeps_rows_without_a_range(spark):
@@ -102,3 +103,17 @@ def test_clustering_along_a_line_takes_any_number_of_rows(spark):
     many = spark.range(3500).select("id", (F.col("id") * F.col("id") % 7919).cast("double").alias("v"))
     tree = multivariate.cluster(many, ["v"], "id", "WARD")
     assert len(tree) == 3499 and tree[-1][4] == 3500
+
+
+def test_normality_far_from_normal(spark):
+    # A2 of these is over 300, where the last parabola of its p-value curve overflowed; that of W2 had risen to 1
+    n = 20_000
+    row = inference.normality(spark.range(n).select((F.col("id") * F.col("id")).cast("double").alias("x")), "x").first()
+    assert row["A2"] > 310 and row["W2"] > 3 and row["P_A2"] == 0 and row["P_W2"] == 0
+    # ties and plain recomputation
+    x = np.sort(np.round(np.random.default_rng(2).normal(size=300), 1))
+    f = np.array([dists.norm_cdf(v) for v in (x - x.mean()) / x.std(ddof=1)])
+    got = inference.normality(spark.createDataFrame([(float(v),) for v in x], "x double"), "x").first()
+    i = np.arange(1, 301)
+    assert abs(got["W2"] - (1 / 3600 + ((f - (2 * i - 1) / 600) ** 2).sum())) < 1e-10
+    assert abs(got["A2"] - (-300 - ((2 * i - 1) * np.log(f) + (601 - 2 * i) * np.log(1 - f)).sum() / 300)) < 1e-8
