@@ -31,6 +31,24 @@ def _fixed(x: Column, d: int) -> Column:
     return F.replace(F.format_number(F.round(x, d), d), F.lit(","), F.lit("")) if d else F.format_string("%d", F.round(x).cast("long"))
 
 
+def _plain(x: Column, d: int) -> Column:
+    """w.d: rounded half away from zero in binary arithmetic, as SQL's ROUND; a negative value that rounds to zero keeps its
+    sign."""
+    if not d:
+        return _fixed(x, d)
+    x = x.cast("double")
+    r = F.when(F.abs(x) < 10.0 ** (15 - d), F.signum(x) * F.floor(F.abs(x) * 10.0**d + 0.5) / 10.0**d).otherwise(x)
+    return F.replace(F.format_number(r, d), F.lit(","), F.lit(""))
+
+
+def _scientific(x: Column, d: int) -> Column:
+    """E-notation with d decimals of the value itself: its shortest decimal text may lie on the other side of a tie."""
+    x = x.cast("double")
+    places = F.greatest(F.lit(0), d - F.floor(F.log10(F.abs(x)))).cast("int")
+    near = F.replace(F.call_function("format_number", x, places), F.lit(","), F.lit("")).cast("double")
+    return F.format_string(f"%.{d}E", F.when((F.abs(x) >= 1e-9) & (F.abs(x) < 1e15), near).otherwise(x))
+
+
 def _right(s: Column, w: int | None) -> Column:
     return s if w is None else F.when(F.length(s) <= w, F.lpad(s, w, " ")).when(s.isNotNull(), F.repeat(F.lit("*"), F.lit(w)))
 
@@ -53,7 +71,7 @@ def _signed(x: Column, body: Column, prefix: str = "") -> Column:
 
 
 def _comma(x: Column, d: int) -> Column:
-    return F.format_number(F.abs(F.round(x, d)), d)
+    return F.format_number(F.abs(x.cast("double")), d)  # rounds the value itself, not its shortest decimal text
 
 
 def _swap(s: Column) -> Column:
@@ -121,8 +139,8 @@ def _time(seconds: Column, d: int = 0) -> Column:
 
 # Numeric formats: (value, width, decimals) -> text.
 NUMERIC = {
-    "": lambda x, w, d: _right(_fixed(x, d), w),
-    "F": lambda x, w, d: _right(_fixed(x, d), w),
+    "": lambda x, w, d: _right(_plain(x, d), w),
+    "F": lambda x, w, d: _right(_plain(x, d), w),
     "BEST": lambda x, w, d: _right(best(x, w or 12), w or 12),
     "COMMA": lambda x, w, d: _right(_signed(x, _comma(x, d)), w),
     "DOLLAR": lambda x, w, d: _right(_signed(x, _comma(x, d), "$"), w),
@@ -133,8 +151,8 @@ NUMERIC = {
     "Z": lambda x, w, d: F.concat(F.when(x < 0, "-").otherwise(""), F.lpad(_fixed(F.abs(x), d), F.when(x < 0, (w or 8) - 1).otherwise(w or 8), F.lit("0"))),
     "PERCENT": lambda x, w, d: _right(F.concat(_signed(x, _comma(x * 100, d)), F.lit("%")), w),
     "NEGPAREN": lambda x, w, d: _right(F.when(x < 0, F.concat(F.lit("("), _comma(x, d), F.lit(")"))).otherwise(_comma(x, d)), w),
-    "E": lambda x, w, d: _right(F.format_string(f"%.{max(1, (w or 12) - 7)}E", x), w),
-    "SCIENTIFIC": lambda x, w, d: _right(F.format_string(f"%.{d or 2}E", x), w),
+    "E": lambda x, w, d: _right(_scientific(x, max(1, (w or 12) - 7)), w),
+    "SCIENTIFIC": lambda x, w, d: _right(_scientific(x, d or 2), w),
     "HEX": lambda x, w, d: F.lpad(F.hex(x.cast("long")), w or 8, "0"),
     "BINARY": lambda x, w, d: F.lpad(F.bin(x.cast("long")), w or 8, "0"),
     "OCTAL": lambda x, w, d: F.lpad(F.conv(x.cast("long").cast("string"), 10, 8), w or 3, "0"),

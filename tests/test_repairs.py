@@ -144,3 +144,11 @@ def test_first_and_last_over_ranges(spark):
     # no window over a whole BY group is left
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert all("__cum_b" in line for line in plan.splitlines() if "Window [" in line)
+
+
+def test_numeric_formats_round_the_value_itself(spark):
+    x = spark.createDataFrame([(-0.04, 9172.755, 0.25)], "a double, b double, c double")
+    put = lambda c, f: formats.put(F.col(c), f)
+    # 9172.755 is a little under its shortest decimal text
+    row = x.select(put("a", "6.1"), put("c", "6.1"), put("b", "COMMA9.2"), put("b", "DOLLAR10.2"), put("b", "E12."), put("b", "SCIENTIFIC12.5")).first()
+    assert [v.strip() for v in row] == ["-0.0", "0.3", "9,172.75", "$9,172.75", "9.17275E+03", "9.17275E+03"]
