@@ -152,3 +152,14 @@ def test_numeric_formats_round_the_value_itself(spark):
     # 9172.755 is a little under its shortest decimal text
     row = x.select(put("a", "6.1"), put("c", "6.1"), put("b", "COMMA9.2"), put("b", "DOLLAR10.2"), put("b", "E12."), put("b", "SCIENTIFIC12.5")).first()
     assert [v.strip() for v in row] == ["-0.0", "0.3", "9,172.75", "$9,172.75", "9.17275E+03", "9.17275E+03"]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
+def test_spread_join_of_heavy_keys(spark, how, monkeypatch):
+    monkeypatch.setattr(relational, "HEAVY_ROWS", 4)
+    a = spark.createDataFrame([(None if k % 3 == 0 else k % 3, k % 20) for k in range(60)] + [(7, 1), (8, 2)], "k int, x int")
+    b = spark.createDataFrame([(None if k % 2 == 0 else 1, k) for k in range(20)] + [(1, 5), (1, 5), (7, 3), (9, 4)] + [(2, 0)], "k int, y int")
+    got = relational.spread_join(a, b, ["k"], how)
+    want = relational.key_join(a, b, ["k"], how)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.columns == want.columns
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
