@@ -36,7 +36,7 @@ def box(df: DataFrame, y: str, category: str | None = None) -> DataFrame:
     keys = [category] if category else []
     x = F.col(y).cast("double")
     counted = df.where(F.col(y).isNotNull()).groupBy(*keys, x.alias("__x")).agg(F.count("*").alias("__c"))
-    q = definition5(counted, keys, {"Q1": 0.25, "MEDIAN": 0.5, "Q3": 0.75})
+    q = definition5(counted, keys, {"Q1": 0.25, "MEDIAN": 0.5, "Q3": 0.75}, source=df.select(x.alias("__x")))
     joined = counted.join(q, keys) if keys else counted.crossJoin(F.broadcast(q))
     lo = F.col("q_Q1") - 1.5 * (F.col("q_Q3") - F.col("q_Q1"))
     hi = F.col("q_Q3") + 1.5 * (F.col("q_Q3") - F.col("q_Q1"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..stats import dists
-from .running import totals
+from .running import dealt, totals
 
 QUANTILES = {"P1": 0.01, "P5": 0.05, "P10": 0.1, "P25": 0.25, "Q1": 0.25, "MEDIAN": 0.5, "P50": 0.5, "P75": 0.75, "Q3": 0.75, "P90": 0.9, "P95": 0.95, "P99": 0.99, "QRANGE": None}
 SIMPLE = ("N", "NMISS", "MIN", "MAX", "RANGE", "SUM", "MEAN", "STD", "VAR", "STDERR", "CV", "USS", "CSS", "SKEWNESS", "KURTOSIS", "SUMWGT")
@@ -135,7 +135,7 @@ def grouped_quantiles(df: DataFrame, v: str, points: dict[str, float], by: Seque
         rows = finest.select(*by, "__x", "__c", F.explode(F.array(*of_set)).alias("__s")).select(*by, "__x", "__c", "__s.*")
         keys = ["__set", *by, *classes]
         counted = rows.groupBy(*keys, "__x").agg(F.sum("__c").alias("__c"))
-        parts.append(definition5(counted, keys, points).select(*by, *classes, "__set", *_quantile_names(points)))
+        parts.append(definition5(counted, keys, points, source=df.select(x)).select(*by, *classes, "__set", *_quantile_names(points)))
     for n in range(len(sets)):
         if n not in keyed:
             counted = finest.groupBy("__x").agg(F.sum("__c").alias("__c"))
@@ -149,11 +149,19 @@ def _quantile_names(points: dict[str, float]) -> list[str]:
 
 
 def definition5(counted: DataFrame, keys: Sequence[str], points: dict[str, float], weight: str | None = None, source: DataFrame | None = None) -> DataFrame:
-    """Quantiles of (keys, __x, __c): with np whole the mean of values np and np + 1, else the value floor(np) + 1."""
+    """Quantiles of (keys, __x, __c): with np whole the mean of values np and np + 1, else the value floor(np) + 1. The
+    values of a key are dealt over value ranges as well, so no task holds a whole key."""
     if keys:
+        parts = dealt(counted, ["__x"], source=source)
+        run = Window.partitionBy("__cum_b", *keys).orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
         part = Window.partitionBy(*keys)
-        run = part.orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
-        ranked = counted.withColumns({"__hi": F.sum("__c").over(run), "__n": F.sum("__c").over(part)})
+        before = part.orderBy("__cum_b").rowsBetween(Window.unboundedPreceding, -1)
+        sums = parts.groupBy("__cum_b", *keys).agg(F.sum("__c").alias("__t"))  # a row for each key and range
+        sums = sums.select((F.col("__cum_b") + 1).alias("__of"), *[F.col(k).alias(f"__of_{k}") for k in keys], F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__o"), F.sum("__t").over(part).alias("__n"))
+        cond = F.col("__cum_b") + 1 == F.col("__of")  # shifted as in running.hand_over
+        for k in keys:
+            cond = cond & F.col(k).eqNullSafe(F.col(f"__of_{k}"))
+        ranked = parts.withColumn("__hi", F.sum("__c").over(run)).join(sums, cond).withColumn("__hi", F.col("__hi") + F.col("__o"))
     else:
         ranked = totals(counted, {"__hi": F.col("__c")}, ["__x"], whole={"__hi": "__n"}, source=source)
     lo = F.col("__hi") - F.col("__c")
