@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenstep import formats
-from lumenstep.operators import datastep, inference, multivariate, relational, running
+from lumenstep.operators import datastep, inference, multivariate, relational, running, summary
 from lumenstep.stats import dists
 
 
@@ -163,3 +163,40 @@ def test_spread_join_of_heavy_keys(spark, how, monkeypatch):
     want = relational.key_join(a, b, ["k"], how)
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.columns == want.columns
     assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distances_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(multivariate, "CELL_ROWS", 16)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 5))
+    x[7] = x[3] + 1e-9
+    df = spark.createDataFrame([(f"v{i}", [float(v) for v in r]) for i, r in enumerate(x)] + [("gone", [1.0, None, 0.0, 0.0, 0.0])], "id string, e array<double>")
+    got = {(r["ID1"], r["ID2"]): r["DISTANCE"] for r in multivariate.distance(df, "id", "e", most_rows=None).collect()}
+    assert len(got) == 61 * 60 // 2 and all(a < b for a, b in got)
+    for (a, b), d in got.items():
+        assert d is None if "gone" in (a, b) else abs(d - np.sqrt(((x[int(a[1:])] - x[int(b[1:])]) ** 2).sum())) <= 1e-12
+
+
+def test_distribution_functions_over_arrays():
+    rng = np.random.default_rng(8)
+    a, b, x, p, z = rng.uniform(0.1, 50, 400), rng.uniform(0.1, 50, 400), rng.uniform(-0.1, 1.1, 400), rng.uniform(0.001, 0.999, 400), rng.normal(size=400) * 4
+    for name, value, *q in (("T", z, a), ("F", z, a, b), ("CHISQ", 20 * x, a), ("BETA", x, a, b), ("GAMMA", 20 * x, a, b), ("NORMAL", z), ("POISSON", np.floor(20 * x), a)):
+        want = [dists.cdf(name, *row) for row in zip(value.tolist(), *[v.tolist() for v in q], strict=True)]
+        assert np.allclose(dists.cdf_many(name, value, *q), want, rtol=1e-11, atol=1e-13)
+        if name in ("T", "F", "CHISQ", "BETA", "GAMMA"):
+            want = [dists.quantile(name, *row) for row in zip(p[:40].tolist(), *[v[:40].tolist() for v in q], strict=True)]
+            assert np.allclose(dists.quantile_many(name, p[:40], *[v[:40] for v in q]), want, rtol=1e-9, atol=1e-12)
+
+
+def test_quantiles_of_few_keys_are_dealt_over_ranges(spark):
+    rng = np.random.default_rng(1)
+    data = [(k % 2 if k % 7 else None, float(v)) for k, v in enumerate(np.round(rng.normal(size=900), 2))]
+    counted = spark.createDataFrame(data, "g int, __x double").groupBy("g", "__x").agg(F.count("*").alias("__c"))
+    out = summary.definition5(counted, ["g"], {"Q1": 0.25, "MEDIAN": 0.5})
+    for r in out.collect():
+        x = sorted(v for g, v in data if g == r["g"])
+        for q, c in ((0.25, "q_Q1"), (0.5, "q_MEDIAN")):
+            k = len(x) * q
+            assert r[c] == ((x[int(k) - 1] + x[int(k)]) / 2 if k == int(k) else x[int(k)])
+    windows = [w for w in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [sum(__c#" in w]
+    assert windows and all("__cum_b" in w for w in windows)
